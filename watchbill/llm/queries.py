@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from watchbill.llm.canonical import map_to_list
 from watchbill.llm.lookalikes import same_look
+from watchbill.llm.mixing import mix, shares
+from watchbill.llm.packing import fills, pack
+from watchbill.llm.subjects import subject_areas
+from watchbill.llm.tokens import n_tokens
 from watchbill.llm.variants import person_pairs, phone_key, same_person
 from watchbill.operators.multivalue import values_of
-from watchbill.sources.tables import table
+from watchbill.sources.tables import table, written
 
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +43,48 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meant.select("entry_id", F.col("best_id").alias("manual_id"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found}
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their sizes in tokens, counted once."""
+    return written(table(spark, sf_dir, "documents").select("doc_id", "source", n_tokens(F.col("text")).alias("tokens")))
+
+
+def p7_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each text, or piece of an oversized text, for each capacity of pack_target."""
+    return pack(_sized(spark, sf_dir), table(spark, sf_dir, "pack_target"), "doc_id", "tokens")
+
+
+def p7_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are, against the fewest that could hold all tokens."""
+    return fills(p7_bins(spark, sf_dir), table(spark, sf_dir, "pack_target"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of the sources of documents, in the order of slot."""
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"), "doc_id", "source", "tokens")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture really reached."""
+    return shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_target"))
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each document."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each subject's share of the documents' tokens against its target; a document counts by the shares of its subjects."""
+    sized = _sized(spark, sf_dir)
+    parts = _subjects(spark, sf_dir).join(sized, "doc_id").groupBy("subject").agg(F.sum(F.col("share") * F.col("tokens")).alias("n"), F.countDistinct("doc_id").alias("documents"))
+    out = table(spark, sf_dir, "subject_area").join(parts, "subject", "left").crossJoin(F.broadcast(parts.agg(F.sum("n").alias("whole"))))
+    share = F.coalesce(F.col("n") / F.col("whole"), F.lit(0.0))
+    return out.select("subject", F.coalesce("documents", F.lit(0)).alias("documents"), share.alias("share"), "target_share", (F.col("target_share") / share).alias("weight"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p6_found, p7_bins, p7_fills, p8_mixture, p8_shares, p9_found, p9_composition)}
 ORACLE: dict[str, str] = {}
