@@ -46,9 +46,10 @@ def token_rule(target: Column, candidate: Column) -> Column:
     """How a word of a candidate fits a word looked for: 1 exact, 2 prefix (3 letters or more), 3 one edit (4 letters or
     more), 4 two edits (6 letters or more); null if it does not."""
     short = F.least(F.length(target), F.length(candidate))
-    close = osa(target, candidate)
-    near = F.abs(F.length(target) - F.length(candidate)) <= 2
-    edits = F.when(near & (short >= 4), F.when(close <= 1, 3).when((short >= 6) & (close <= 2), 4))
+    # the native distance counts a swap as two edits: it decides most pairs, and the swaps are looked for in the rest
+    plain = F.levenshtein(target, candidate, 4)
+    close = F.when(plain < 2, plain).otherwise(osa(target, candidate))
+    edits = F.when((short >= 4) & (plain >= 0), F.when(close <= 1, 3).when((short >= 6) & (close <= 2), 4))
     return F.when(target == candidate, 1).when((short >= 3) & (F.startswith(candidate, target) | F.startswith(target, candidate)), 2).otherwise(edits)
 
 

@@ -27,12 +27,18 @@ def canonical_join(df: DataFrame, name: str, contacts: DataFrame, contact_name:
     return df.withColumn("_key", canonical_name(F.col(name))).join(known.withColumnsRenamed({"key": "_key", phone: f"matched_{phone}"}), "_key", "left").drop("_key")
 
 
-def _grams(words: Column) -> Column:
-    """Blocking keys of words: each word's deletion forms by one letter among its first four, and its first letters.
+def _less(words: Column) -> Column:
+    """Each word of an array without one letter, for every letter."""
+    return F.flatten(F.transform(words, lambda w: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.left(w, i - 1), w.substr(i + 1, F.length(w))))))
 
-    Words within two edits share one of them in all but rare cases where both edits fall on the first four letters.
-    """
-    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length(w))), lambda i: F.concat(F.substring(w, 1, 4).substr(F.lit(1), i - 1), F.substring(w, 1, 5).substr(i + 1, F.lit(3)))))))
+
+def _keys(words: Column) -> Column:
+    """Keys of which two words that a rule of the ladder can join share one: the word, its first three letters, and what
+    remains of it without one letter (words of four or more) or two (words of six or more)."""
+    four, six = F.filter(words, lambda w: F.length(w) >= 4), F.filter(words, lambda w: F.length(w) >= 6)
+    heads = F.transform(F.filter(words, lambda w: F.length(w) >= 3), lambda w: F.concat(F.lit("^"), F.left(w, F.lit(3))))
+    return F.array_distinct(F.concat(words, heads, _less(four), _less(F.array_distinct(_less(six)))))
 
 
 def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: DataFrame, contact_name: str, phone: str) -> DataFrame:
@@ -41,14 +47,16 @@ def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: Da
     Rules in order: 1 all words equal, 2 prefixes, 3 one edit, 4 two edits (uncertain); the rule of a pair is the worst
     over its words. A rule that finds more than one phone is passed over. df and contacts are compared within equal
     `block` columns. Rows without name, contacts without phone take no part. Contacts are reduced to distinct (block,
-    name, phone) first.
+    name, phone) first. Candidates come from an equi join on keys of the longest word looked for, which a rule's first
+    condition is that it fits; the keys are complete for every rule.
     """
     block = list(block)
     left = df.where(F.col(name).isNotNull()).select(F.col(id).alias("_id"), *block, F.split(canonical_name(F.col(name)), " ").alias("_t"))
     names = left.select(*block, "_t").distinct()
     right = contacts.where(F.col(phone).isNotNull()).select(*block, F.split(canonical_name(F.col(contact_name)), " ").alias("_c"), F.col(phone).alias("_phone")).distinct()
-    a = names.withColumn("_g", F.explode(_grams(F.filter("_t", lambda w: F.length(w) >= 3))))
-    b = right.withColumn("_g", F.explode(_grams(F.col("_c"))))
+    longest = F.array_max(F.transform("_t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    a = names.where(F.exists("_t", lambda w: F.length(w) >= 3)).withColumn("_g", F.explode(_keys(F.array(longest))))
+    b = right.withColumn("_g", F.explode(_keys(F.col("_c"))))
     pairs = a.join(b, [*block, "_g"]).select(*block, "_t", "_c", "_phone").distinct()
     ruled = pairs.withColumn("rule", name_rule(F.col("_t"), F.col("_c"))).where("rule is not null")
     unique = ruled.groupBy(*block, "_t", "rule").agg(F.min("_phone").alias("phone"), F.max("_phone").alias("_other")).where("phone = _other")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchbill.functions.rules import first_rule, keyword_score
+from watchbill.functions.rules import first_rule
 from watchbill.functions.text import normalized_text
 
 
@@ -67,9 +67,20 @@ def detect(df: DataFrame, id: str, text: str, entries: DataFrame, key: str, keyw
     n = entries.limit(2001).count()
     if n > 2000:
         raise ValueError("catalogue over 2,000 entries: join it by words instead")
-    order = entries.select(F.col(key).alias("_key"), F.transform(F.col(keywords), lambda k: F.lower(k)).alias("_words"))
-    rows = order.collect()
-    scored = F.array(*[F.struct(keyword_score(F.col(text), F.array(*[F.lit(w) for w in r["_words"] or []]) if r["_words"] else F.array().cast("array<string>")).alias("score"), F.lit(i).alias("i"), F.lit(r["_key"]).alias("key")) for i, r in enumerate(sorted(rows, key=lambda r: r["_key"]))])
-    best = F.aggregate(scored, F.struct(F.lit(0).alias("score"), F.lit(-1).alias("i"), F.lit("").alias("key")), lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
-    out = df.select(id, best.alias("_b")).where("_b.score > 0")
+    rows = sorted(entries.select(F.col(key), F.transform(F.col(keywords), lambda k: F.lower(k))).collect(), key=lambda r: r[0])
+    padded = F.concat(F.lit(" "), normalized_text(F.col(text)), F.lit(" "))
+    found = lambda t, k: F.contains(t, F.lit(f" {k} " if len(k) <= 3 and k.isascii() and k.isalnum() else k))
+
+    def scores(t: Column) -> Column:
+        out = []
+        for i, r in enumerate(rows):
+            total = F.lit(0)
+            for k in [k for k in r[1] or [] if k]:
+                total = total + F.when(found(t, k), len(k)).otherwise(0)
+            out.append(F.struct(total.alias("score"), F.lit(-i).alias("i"), F.lit(r[0]).alias("key")))
+        return F.array_max(F.array(*out))
+
+    if not rows:
+        return df.select(id, F.lit("").alias(key), F.lit(0).alias("score"), F.lit(True).alias("uncertain")).limit(0)
+    out = df.select(id, padded.alias("_t")).select(id, scores(F.col("_t")).alias("_b")).where("_b.score > 0")
     return out.select(id, F.col("_b.key").alias(key), F.col("_b.score").alias("score"), (F.col("_b.score") < certain).alias("uncertain"))

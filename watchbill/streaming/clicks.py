@@ -11,9 +11,10 @@ from watchbill.operators.store import upsert
 from watchbill.sources.tables import shared_dir
 
 
-def read_events(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
-    """Events from Parquet files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_events(spark: SparkSession, path: str, files: str = "*.parquet", schema: StructType | None = None, files_per_trigger: int = 100) -> DataFrame:
+    """Events from the Parquet files of a folder as they arrive; `files` names those that count."""
+    known = schema or spark.read.option("pathGlobFilter", files).parquet(path).schema
+    return spark.readStream.schema(known).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", files).parquet(path)
 
 
 def once_each(events: DataFrame, id: str, ts: str, late: str) -> DataFrame:
