@@ -30,7 +30,7 @@ def canonical_name(name: Column) -> Column:
     t = F.regexp_replace(F.lower(F.trim(name)), "^dr\\.?\\s*", " ")
     t = F.regexp_replace(t, "\\([^)]*\\)", " ")
     t = F.regexp_replace(F.regexp_replace(t, "(?<![a-z0-9_])dr(?![a-z0-9_])\\.?", " "), "-", "")
-    t = F.trim(F.regexp_replace(t, "[^a-z0-9؀-ۿ]+", " "))
+    t = F.trim(F.regexp_replace(t, "[^a-z0-9\u0600-ۿ]+", " "))
     words = F.filter(F.split(t, " "), lambda w: ~w.isin("al", "el", ""))
     return F.array_join(F.transform(words, lambda w: F.regexp_replace(w, "^(?:al|el)(?=[a-z]{2,}$)", "")), " ")
 

@@ -27,10 +27,9 @@ def issues(checks: Sequence[tuple[Column, str]]) -> Column:
 
 def duplicates(df: DataFrame, keys: Sequence[Column], id: str) -> DataFrame:
     """(first, later) for each row that repeats an earlier one on keys: to the first of its group, so rows and not pairs
-    are emitted however often a row is repeated. Null keys equal each other."""
-    h = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    names = [f"_k{i}" for i in range(len(h))]
-    rows = df.select(F.col(id).alias("later"), *[F.coalesce(k.cast("string"), F.lit("")).alias(n) for k, n in zip(keys, names)])
+    are emitted however often a row is repeated. Null keys equal each other and nothing else."""
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(F.col(id).alias("later"), *[F.coalesce(k.cast("string"), F.lit("\ue0f0")).alias(n) for k, n in zip(keys, names)])
     firsts = rows.groupBy(*names).agg(F.min("later").alias("first"), F.count("*").alias("n")).where("n > 1")
     return rows.join(firsts, names).where("later > first").select("first", "later")
 

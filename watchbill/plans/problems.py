@@ -40,7 +40,7 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods of cover and the gaps between them per upload and role of entry."""
-    role = F.lower(F.trim(F.regexp_replace("role", "[\\s ]+", " ")))
+    role = F.lower(F.trim(F.regexp_replace("role", "[\\s\u00a0]+", " ")))
     start, end = shift_bounds(F.col("duty_date"), F.col("starttime"), F.col("endtime"))
     rows = table(spark, sf_dir, "entry").select("upload_id", role.alias("role"), start.alias("a"), end.alias("b"))
     out = cover(rows.where("role <> ''"), ["upload_id", "role"], F.col("a"), F.col("b"))

@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 ROLES = ("1st on-call", "2nd on-call", "3rd on-call", "associate on-duty", "consultant on-call", "consultant on-duty", "fellow second", "hospitalist ward", "resident er", "senior registrar")
 LANES = (("consultant", "consultant", None), ("ward", "ward|hospitalist", None), ("emergency", "\\ber\\b", None), ("first", "1st|junior", None), ("second", "2nd|second", "fellow"), ("fellow", "fellow", None), ("senior", "senior|3rd", None), ("other", ".", None))
 
-_CANON = """array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '^dr\\.?\\s*', ' '), '\\([^)]*\\)', ' ', 'g'), '\\bdr\\b\\.?', ' ', 'g'), '-', ''), '[^a-z0-9؀-ۿ]+', ' ', 'g')), ' '), lambda w: w not in ('al', 'el', '')), lambda w: regexp_replace(w, '^(?:al|el)([a-z]{{2,}})$', '\\1')), ' ')"""
+_CANON = """array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '^dr\\.?\\s*', ' '), '\\([^)]*\\)', ' ', 'g'), '\\bdr\\b\\.?', ' ', 'g'), '-', ''), '[^a-z0-9\u0600-ۿ]+', ' ', 'g')), ' '), lambda w: w not in ('al', 'el', '')), lambda w: regexp_replace(w, '^(?:al|el)([a-z]{{2,}})$', '\\1')), ' ')"""
 _DIGITS = "regexp_replace(translate({x}, '٠١٢٣٤٥٦٧٨٩', '0123456789'), '[^0-9]', '', 'g')"
 _PHONE = f"nullif(regexp_extract(regexp_replace(regexp_replace({_DIGITS}, '^(?:00)?966', ''), '^(5[0-9]{{{{8}}}})$', '0\\1'), '^05[0-9]{{{{8}}}}$'), '')"
 _ROLE = "lower(trim(regexp_replace({x}, '\\s+', ' ', 'g')))"
@@ -120,7 +120,7 @@ def keep_preferred(spark, d):
     return G.best_by(e, ["upload_id", "date_key", "r"], F.desc(score), F.desc(F.length(F.coalesce("name", F.lit("")))), F.desc("entry_id")).select("entry_id", "upload_id", "date_key")
 
 
-@query("""with k as (select entry_id, concat_ws('|', cast(coalesce(upload_id, -1) as varchar), coalesce(name, ''), coalesce(date_key, ''), coalesce(substr(role, 1, 12), ''), coalesce(starttime, ''), coalesce(endtime, '')) as k from entry),
+@query("""with k as (select entry_id, concat_ws('|', cast(coalesce(upload_id, -1) as varchar), coalesce(name, chr(57584)), coalesce(date_key, chr(57584)), coalesce(substr(role, 1, 12), chr(57584)), coalesce(starttime, chr(57584)), coalesce(endtime, chr(57584))) as k from entry),
 f as (select k, min(entry_id) as first from k group by k having count(*) > 1)
 select first, entry_id as later from k join f using (k) where entry_id > first""")
 def duplicate_rows(spark, d):

@@ -16,7 +16,7 @@ CELLS = "path string, page int, `table` int, row int, col int, text string"
 
 def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
     """df as CSV with a header, every value quoted, quotes doubled; bom marks each file as UTF-8 for spreadsheets."""
-    first = "﻿" if bom else ""
+    first = "\ufeff" if bom else ""
     named = df.toDF(f"{first}{df.columns[0]}", *df.columns[1:]) if bom else df
     named.write.option("header", True).option("quoteAll", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
