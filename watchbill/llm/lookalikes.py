@@ -26,7 +26,7 @@ LOOKALIKES = """
 # Hyphens drawn like the ASCII one, apostrophes like the straight one, blanks that Unicode lists as format characters.
 HYPHENS = "‐‑⁃﹣－‒−"
 APOSTROPHES = "‘’ʼʹ′＇"
-INVISIBLE = "᠎​﻿⁠­͏ᅟᅠㅤ"
+INVISIBLE = "\u180e\u200b\ufeff\u2060\u00ad\u034f\u115f\u1160\u3164"
 
 
 class Classes:
