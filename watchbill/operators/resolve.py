@@ -12,13 +12,14 @@ from watchbill.operators.windows import best_by
 
 
 def by_priority(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """All rows of the first source that has any for a key; sources share their columns."""
+    """All rows of the first source that has any for a key, with the source's number as `priority`; sources share their
+    columns. Rows with a null in keys are left out."""
     both = None
     for n, s in enumerate(sources):
         one = s.withColumn("priority", F.lit(n))
         both = one if both is None else both.unionByName(one)
     best = both.groupBy(*keys).agg(F.min("priority").alias("priority"))
-    return both.join(best, [*keys, "priority"], "left_semi")
+    return both.join(best, [*keys, "priority"], "left_semi").select(*both.columns)
 
 
 def merge_schedules(primary: DataFrame, fallback: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

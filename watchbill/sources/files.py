@@ -40,7 +40,7 @@ def read_documents(spark: SparkSession, path: str, extract: Callable[[str, bytes
     """Rows that `extract(path, content)` yields for each file, in Arrow batches; no extractor is built in.
 
     Files are read whole, one at a time. One that the extractor cannot read is not lost: it gives one row with its path
-    and nulls.
+    and nulls. Files without content are passed over by the scan.
     """
     out = spark.createDataFrame([], schema).schema
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
