@@ -57,7 +57,7 @@ def invisible(c: str) -> bool:
 
 
 def lookalike_classes(alphabet: Sequence[str]) -> list[list[str]]:
-    """Transitive classes of the strings that look alike, over the code points that occur in the texts.
+    """Transitive classes of the strings that look alike, over the code points that occur in the decomposed texts.
 
     Case, spelling, accents and the number of blanks stay visible: nothing joins `a` with `A` or `é`, or one blank with
     two. Tabs and line ends are no blanks here.
@@ -75,11 +75,10 @@ def lookalike_classes(alphabet: Sequence[str]) -> list[list[str]]:
         elif c in APOSTROPHES:
             classes.join(c, "'")
         else:
-            for form in ("NFC", "NFD", "NFKC", "NFKD"):
-                other = unicodedata.normalize(form, c)
-                # spacing accents decompose into a blank and an accent: no letter looks like that
-                if other != c and not (form[2] == "K" and other.startswith(" ")):
-                    classes.join(c, other)
+            other = unicodedata.normalize("NFKD", c)
+            # spacing accents decompose into a blank and an accent: no letter looks like that
+            if other != c and not other.startswith(" "):
+                classes.join(c, other)
     return classes.members()
 
 
@@ -96,8 +95,11 @@ def representatives(classes: list[list[str]], counts: dict[str, int]) -> dict[st
 
 
 class Rewriter:
-    """Greedy rewriting by an Aho-Corasick automaton, until nothing changes (an accent may follow a letter that is
-    itself rewritten first)."""
+    """Greedy rewriting by an Aho-Corasick automaton until nothing changes.
+
+    Letters are taken apart from their accents first and put together last, so that a letter of any script meets its
+    class with and without accents.
+    """
 
     def __init__(self, table: dict[str, str]):
         self.automaton = ahocorasick.Automaton()
@@ -109,19 +111,21 @@ class Rewriter:
             self.automaton.make_automaton()
 
     def __call__(self, text: str | None) -> str | None:
-        if not text or not self.any:
+        if not text:
             return text
+        if not self.any:
+            return unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFD", text)
         for _ in range(8):
             out, at = [], 0
             for end, (length, best) in self.automaton.iter_long(text):
                 out += (text[at : end + 1 - length], best)
                 at = end + 1
-            new = "".join(out) + text[at:]
-            composed = unicodedata.normalize("NFC", new)
-            if composed == text or new == text:
-                return composed
-            text = composed
-        return text
+            new = unicodedata.normalize("NFD", "".join(out) + text[at:])
+            if new == text:
+                break
+            text = new
+        return unicodedata.normalize("NFC", text)
 
 
 def learn(columns: Sequence[tuple[DataFrame, str]]) -> dict[str, str]:
@@ -136,7 +140,10 @@ def learn(columns: Sequence[tuple[DataFrame, str]]) -> dict[str, str]:
         texts = one if texts is None else texts.unionByName(one)
     letters = texts.select(F.explode(F.split("t", "")).alias("c")).where("c <> ''").groupBy("c").count()
     # split cuts at UTF-16 units in no case: Java's empty pattern keeps surrogate pairs together
-    counts = {r[0]: r[1] for r in letters.collect()}
+    counts: dict[str, int] = {}
+    for r in letters.collect():
+        for c in unicodedata.normalize("NFD", r[0]):
+            counts[c] = counts.get(c, 0) + r[1]
     classes = lookalike_classes(sorted(counts))
     long = sorted({m for k in classes for m in k if len(m) > 1})
     if long:
