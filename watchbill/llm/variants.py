@@ -230,31 +230,46 @@ def _shard(key, rows):
 
 
 def _people(key, rows):
-    """Forms (name, phone, specialty) of one component to persons: form -> person, the smallest form id of it."""
+    """Forms (name, phone, specialty) of one component to persons: form -> person, the smallest form id of it.
+
+    Each phone is a person, whose main specialty is the one of two rows or more. Forms without phone that agree, in two
+    rows or more, in a specialty that is nobody's main one are a person too, unless a person without main specialty is
+    there to take them: single rows are often filed under a wrong specialty, several under one wrong one are not. Other
+    forms without phone go to the person of their specialty, else to the one of the nearest name; where two are equally
+    near they stay apart.
+    """
     forms = [(r["form_id"], tokens(r["name"]), r["phone"], r["specialty"], r["n"]) for r in rows]
-    phones = sorted({p for _, _, p, _, _ in forms if p})
-    if len(phones) <= 1:
-        low = min(f[0] for f in forms)
-        for f in forms:
-            yield {"form_id": f[0], "person": low}
-        return
-    names, fields = defaultdict(list), defaultdict(lambda: defaultdict(int))
+    names, fields, bare = defaultdict(list), defaultdict(lambda: defaultdict(int)), defaultdict(int)
     for _, words, phone, specialty, n in forms:
         if phone:
             if words not in names[phone]:
                 names[phone].append(words)
             fields[phone][specialty] += n
+        elif specialty is not None:
+            bare[specialty] += n
+    main = {p: {s for s, n in f.items() if n >= 2 and s is not None} for p, f in fields.items()}
+    for s in sorted((s for s, n in bare.items() if n >= 2), key=lambda s: (-bare[s], s)):
+        if any(s in m for m in main.values()):
+            continue
+        free = [p for p, m in main.items() if not m]
+        known = [p for p in free if fields[p].get(s)]
+        if len(known) == 1 or len(free) == 1:
+            main[(known or free)[0]].add(s)
+        else:
+            main[f"specialty {s}"] = {s}
+            names[f"specialty {s}"] = [words for _, words, phone, f, _ in forms if not phone and f == s]
     member: dict[int, str] = {}
     for form, words, phone, specialty, _ in forms:
-        if phone:
-            member[form] = phone
+        if phone or len(main) <= 1:
+            member[form] = phone or next(iter(main), "")
             continue
         scored = []
-        for p in phones:
+        for p in main:
             cost = min((c for c in (0.0 if w == words else same_name(w, words) for w in names[p]) if c is not None), default=3.0)
-            scored.append((cost - (1.5 if specialty is not None and fields[p][specialty] else 0), p))
+            mine = specialty is not None and (specialty in main[p] or not main[p] and fields[p].get(specialty))
+            scored.append((cost - (1.5 if mine else 0), p))
         scored.sort()
-        member[form] = scored[0][1] if len(scored) < 2 or scored[1][0] - scored[0][0] > 0.2 else f"?{words}{specialty}"
+        member[form] = scored[0][1] if scored[1][0] - scored[0][0] > 0.2 else f"?{words}{specialty}"
     low: dict[str, int] = {}
     for form, who in member.items():
         low[who] = min(low.get(who, form), form)
