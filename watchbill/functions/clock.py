@@ -16,6 +16,11 @@ def clock_minute(text: Column) -> Column:
     24, minutes over 59, 13:00 PM and words are no clock times; a number alone (730 apart from four digits, 7) is none.
     """
     t = F.regexp_replace(F.lower(F.trim(F.translate(text, _ARABIC_DIGITS, "01234567890123456789"))), "\\s+", " ")
+    usual = F.when(text.rlike("^(?:[01][0-9]|2[0-3]):[0-5][0-9]$"), F.substring(text, 1, 2).cast("int") * 60 + F.substring(text, 4, 2).cast("int"))
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(usual, _typed(t)))
+
+
+def _typed(t: Column) -> Column:
     return let(t, lambda v: let(F.struct(*[F.regexp_extract(v, _CLOCK, k).alias(f"g{k}") for k in range(7)]), _minute))
 
 
