@@ -46,9 +46,13 @@ def token_rule(target: Column, candidate: Column) -> Column:
     """How a word of a candidate fits a word looked for: 1 exact, 2 prefix (3 letters or more), 3 one edit (4 letters or
     more), 4 two edits (6 letters or more); null if it does not."""
     short = F.least(F.length(target), F.length(candidate))
-    # the native distance counts a swap as two edits: it decides most pairs, and the swaps are looked for in the rest
+    # the native distance counts a swap as two edits; a distance of 2 with other letters, or of 4 unless it is two swaps
+    # of the same letters, needs no alignment, which leaves few pairs for the slow one
     plain = F.levenshtein(target, candidate, 4)
-    close = F.when(plain < 2, plain).otherwise(osa(target, candidate))
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    same = (F.length(target) == F.length(candidate)) & (letters(target) == letters(candidate))
+    mixed = (plain == 3) & (F.abs(F.length(target) - F.length(candidate)) <= 1) & (F.size(F.array_except(letters(target), letters(candidate))) <= 1)
+    close = F.when(plain < 2, plain).when(same | mixed, osa(target, candidate)).when(plain == 2, 2).otherwise(9)
     edits = F.when((short >= 4) & (plain >= 0), F.when(close <= 1, 3).when((short >= 6) & (close <= 2), 4))
     return F.when(target == candidate, 1).when((short >= 3) & (F.startswith(candidate, target) | F.startswith(target, candidate)), 2).otherwise(edits)
 

@@ -57,7 +57,10 @@ def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: Da
     longest = F.array_max(F.transform("_t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     a = names.where(F.exists("_t", lambda w: F.length(w) >= 3)).withColumn("_g", F.explode(_keys(F.array(longest))))
     b = right.withColumn("_g", F.explode(_keys(F.col("_c"))))
-    pairs = a.join(b, [*block, "_g"]).select(*block, "_t", "_c", "_phone").distinct()
+    spark = df.sparkSession
+    cores = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # comparing words costs more than the few bytes of a pair suggest: keep AQE from putting all pairs in one task
+    pairs = a.join(b, [*block, "_g"]).select(*block, "_t", "_c", "_phone").distinct().repartition(cores)
     ruled = pairs.withColumn("rule", name_rule(F.col("_t"), F.col("_c"))).where("rule is not null")
     unique = ruled.groupBy(*block, "_t", "rule").agg(F.min("_phone").alias("phone"), F.max("_phone").alias("_other")).where("phone = _other")
     first = unique.groupBy(*block, "_t").agg(F.min_by(F.struct("rule", "phone"), "rule").alias("_m"))
