@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 3_000  # labelled documents that the models are fitted to; statistics of the background use all documents
 NONE = "none"
 WEIGHTS = (0.10, 0.30, 0.55, 0.05)  # trigram, bigram, unigram, background
-ROUNDS = 8
-BACKGROUND = 0.001  # odds of a sentence that the background explains best
+ROUNDS = 12
+MENTION = 0.1  # odds of a subject that is not among a document's labels
+BACKGROUND = 1e-6  # odds of a sentence that the background explains best
+FIRST_NONE = 0.001  # weight at which sentences of labelled documents start as being on no subject
 CHUNK = 40_000  # tokens scored at a time
 
-_END = re.compile(r"(?<=[.!?؟])(?<!\bDr\.)(?<!\bno\.)(?<!\bProf\.)(?<!\bext\.)(?<!د\.)[\"')\]]*\s+")
+_END = re.compile(r"(?<=[.!?؟])(?<!\bDr\.)(?<!\bDR\.)(?<!\bdr\.)(?<!\bno\.)(?<!\bProf\.)(?<!\bext\.)(?<!د\.)[\"')\]]*\s+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 
@@ -109,10 +111,11 @@ class Models:
         q2 = np.where((two >= 0) & (nb > 0), (b2[np.maximum(two, 0)] if len(b2) else 0) / np.maximum(nb, 1), q1)
         per_class = l3 * np.minimum(p3, 1) + l2 * np.minimum(p2, 1) + l1 * p1 + l0 * q1[:, None]
         back = (l3 + l2) * np.minimum(q2, 1) + (l1 + l0) * q1
-        return np.log(np.concatenate([per_class, back[:, None]], 1).astype(np.float64))
+        # words that no labelled document has (names, mostly) tell the classes nothing
+        return np.where((w >= 0)[:, None], np.log(np.concatenate([per_class, back[:, None]], 1).astype(np.float64)), 0.0)
 
-    def posterior(self, tokens: np.ndarray, starts: np.ndarray, prior: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
-        """P(class) of each sentence, the background last; allowed: which classes each sentence may have."""
+    def posterior(self, tokens: np.ndarray, starts: np.ndarray, prior: np.ndarray, odds: np.ndarray | None = None) -> np.ndarray:
+        """P(class) of each sentence, the background last; odds: of each class in the sentence's document."""
         if not len(starts):
             return np.zeros((0, len(self.classes) + 1))
         out = []
@@ -124,8 +127,8 @@ class Models:
             out.append(np.add.reduceat(part, starts[i:j] - starts[i], axis=0))
             i = j
         score = np.concatenate(out) + np.log(prior)
-        if allowed is not None:
-            score = np.where(allowed, score, -np.inf)
+        if odds is not None:
+            score = score + np.log(odds)
         score -= score.max(1, keepdims=True)
         p = np.exp(score)
         return p / p.sum(1, keepdims=True)
@@ -159,15 +162,16 @@ def train(docs: list[list[list[str]]], labels: list[set[str]], classes: list[str
         allowed[d, none] = True
     first = allowed[:, :-1].astype(float)
     mixed = first[:, :none].sum(1) > 0
-    first[mixed, none] = 0.08
+    first[mixed, none] = FIRST_NONE
     weight = (first / first.sum(1, keepdims=True))[who]
     lengths = np.diff(np.append(starts, len(tokens)))
-    open_ = allowed[who]
+    # subjects a document only mentions are not among its labels, yet their sentences are theirs and not of no subject
+    odds = np.where(allowed, 1.0, MENTION)
     for _ in range(ROUNDS):
         m.fit(tokens, np.repeat(weight, lengths, axis=0))
         share = np.maximum(weight.sum(0), 1)
         m.prior = np.append(share / share.sum(), BACKGROUND)
-        weight = m.posterior(tokens, starts, m.prior, open_)[:, :-1]
+        weight = m.posterior(tokens, starts, m.prior, odds[who])[:, :-1]
     m.fit(tokens, np.repeat(weight, lengths, axis=0))
     # a document seldom has more than a few subjects: in new documents all classes are open, at even odds
     m.prior = np.append(np.full(len(classes), 1 / len(classes)), BACKGROUND)
