@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 MAX_LABELLED = 3_000  # labelled documents that the models are fitted to; statistics of the background use all documents
 NONE = "none"
 WEIGHTS = (0.10, 0.30, 0.55, 0.05)  # trigram, bigram, unigram, background
+TRUST = 10.0  # occurrences of a context at which it counts as much as the lower order
 ROUNDS = 12
-MENTION = 0.1  # odds of a subject that is not among a document's labels
+MENTION = 0.05  # odds of a subject that is not among a document's labels
 BACKGROUND = 1e-6  # odds of a sentence that the background explains best
 FIRST_NONE = 0.001  # weight at which sentences of labelled documents start as being on no subject
 CHUNK = 40_000  # tokens scored at a time
@@ -102,8 +103,9 @@ class Models:
         w, two, three, ctx2, ctx1 = tokens.T
         p1 = pick(c1, w) / self.totals
         n1, n2 = pick(c1, ctx1), pick(c2, ctx2)
-        p2 = np.where(n1 > 0.05, pick(c2, two) / np.maximum(n1, 0.05), p1)
-        p3 = np.where(n2 > 0.05, pick(c3, three) / np.maximum(n2, 0.05), p2)
+        # contexts that a class has seldom seen lean on the lower order
+        p2 = (pick(c2, two) + TRUST * p1) / (n1 + TRUST)
+        p3 = (pick(c3, three) + TRUST * p2) / (n2 + TRUST)
         b1, b2 = self.background
         unseen = 1.0 / (b1.sum() + 1)
         q1 = np.where(w >= 0, b1[np.maximum(w, 0)] / (b1.sum() + 1), 0) + unseen
