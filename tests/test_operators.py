@@ -190,3 +190,17 @@ def test_components_and_groups(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("k"), "id").unionByName(spark.sql("select cast(null as bigint) k, 5000L id"))
     sums = stream_groups(df, ["k"], lambda key, rows: [{"k": key[0], "n": len(rows)}], "k bigint, n int").collect()
     assert len(sums) == 8 and sum(r["n"] for r in sums) == 1001
+
+
+def test_more_rows(spark):
+    t = spark.createDataFrame([("7:30 - 16:30 ER",), ("from 8 to 20",), ("99-100",), ("none",), (None,)], "t string").select(W.time_range(F.col("t"))).collect()
+    assert [tuple(r[0]) if r[0] else None for r in t] == [(450, 990), (480, 1200), None, None, None]
+    cells = spark.createDataFrame([(1, 1, 1, "Ann Bee"), (1, 1, 2, ""), (1, 1, 3, "050-123 4567"), (1, 2, 1, "0501234568"), (1, 3, 1, "x"), (1, 3, 2, "0501234569")], "page int, row int, col int, text string")
+    assert {tuple(r) for r in W.contacts_of_cells(cells, ["page"]).collect()} == {(1, 1, "Ann Bee", "0501234567")}
+    lines = spark.createDataFrame([(1, 1, "Ann Bee 0501234567 Cy Dee 0501234568"), (1, 2, "Ed Fox"), (1, 3, "0501234569"), (1, 4, "0501234560")], "doc int, ord int, t string")
+    assert {tuple(r)[1:] for r in W.contacts_of_lines(lines, ["doc"], "ord", "t").collect()} == {("Ann Bee", "0501234567"), ("Cy Dee", "0501234568"), ("Ed Fox", "0501234569")}
+    assert [one(spark, x, W.position_of) for x in ("the resident 2 on call", "FELLOW", "none", None)] == ["Resident 2", "Fellow", None, None]
+    legend = spark.createDataFrame([(1, "AB(12) Dr. Ann Bee 0501234567 CD(1) Dr Cy 0501234568 AB(9) Dr. Other 0501234569")], "doc int, t string")
+    assert {tuple(r)[1:] for r in W.expand_legend(legend, ["doc"], "t").collect()} == {("AB", "Dr. Ann Bee", "0501234567"), ("CD", "Dr Cy", "0501234568")}
+    assert one(spark, "Ann Bee, bee ann; annex", lambda c: W.dictionary_words(c, ["ann", "ann bee", "bee"])) == ["Ann Bee", "bee", "ann"]
+    assert [one(spark, x, lambda c: W.valid_name(c, ["On Leave"])) for x in ("Ann Bee", "on leave", "12:30", "al", "", None, "مثال")] == [True, False, False, False, False, False, True]

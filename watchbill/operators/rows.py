@@ -187,3 +187,70 @@ def partition_tokens(df: DataFrame, tokens: str, known: Sequence[str], groups: i
             yield s.map(split)
 
     return df.withColumn("parts", run(F.col(tokens)))
+
+
+def time_range(text: Column) -> Column:
+    """(start_min, end_min) of the first `h[:mm] - h[:mm]` in a text, null if there is none or it is no time of day."""
+    pattern = "(?<![0-9])([0-9]{1,2})(?:[:.]([0-9]{2}))?\\s*(?:-|\u2013|to)\\s*([0-9]{1,2})(?:[:.]([0-9]{2}))?(?![0-9])"
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    minute = lambda h, m: part(h).try_cast("int") * 60 + F.coalesce(part(m).try_cast("int"), F.lit(0))
+    fine = (minute(1, 2) <= 1440) & (minute(3, 4) <= 1440) & (F.coalesce(part(2).try_cast("int"), F.lit(0)) < 60) & (F.coalesce(part(4).try_cast("int"), F.lit(0)) < 60)
+    return F.when(fine, F.struct(minute(1, 2).alias("start_min"), minute(3, 4).alias("end_min")))
+
+
+def contacts_of_cells(cells: DataFrame, keys: Sequence[str], reach: int = 3, least: int = 3) -> DataFrame:
+    """(keys..., row, name, phone) of cells (row, col, text): each phone with the nearest cell of `least` letters or more
+    among the `reach` cells to its left."""
+    w = Window.partitionBy(*keys, "row").orderBy("col").rowsBetween(-reach, -1)
+    digits = F.regexp_replace("text", "[ ()+-]", "")
+    is_phone = digits.rlike("^[0-9]{9,14}$")
+    name = F.when(~is_phone & (F.length(F.trim("text")) >= least), F.trim("text"))
+    out = cells.withColumns({"phone": F.when(is_phone, digits), "name": F.last(name, ignorenulls=True).over(w)})
+    return out.where("phone is not null and name is not null").select(*keys, "row", "name", "phone")
+
+
+def contacts_of_lines(lines: DataFrame, keys: Sequence[str], order: str, text: str) -> DataFrame:
+    """(keys..., name, phone) of lines: the text between phones on a line, or a line of a name before one of a phone."""
+    number = "(?<![0-9])05[0-9]{8}(?![0-9])"
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.lag(text).over(w)
+    t = F.col(text)
+    found = F.regexp_extract_all(t, F.lit(f"({number})"), F.lit(1))
+    names = F.transform(F.slice(F.split(t, number), 1, F.greatest(F.size(found), F.lit(1))), lambda x: F.trim(F.regexp_replace(x, "^[^\\p{L}]+|[^\\p{L}.)]+$", "")))
+    alone = (F.size(found) == 1) & (F.element_at(names, 1) == "") & ~F.coalesce(before.rlike(number), F.lit(True))
+    pairs = F.when(alone, F.array(F.struct(F.trim(before).alias("name"), F.element_at(found, 1).alias("phone")))).otherwise(
+        F.zip_with(names, found, lambda n, p: F.struct(n.alias("name"), p.alias("phone"))))
+    rows = lines.select(*keys, F.size(found).alias("_n"), pairs.alias("_p")).where("_n > 0")
+    return rows.select(*keys, F.explode("_p").alias("_c")).where("_c.name <> ''").select(*keys, "_c.name", "_c.phone")
+
+
+def position_of(text: Column) -> Column:
+    """`Resident N`, `Consultant` or `Fellow N` named in a text, null if none is."""
+    hit = F.regexp_extract(text, "(?i)\\b(resident|consultant|fellow)\\b\\s*([0-9]*)", 0)
+    return F.when(hit != "", F.initcap(F.trim(hit)))
+
+
+def expand_legend(lines: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys..., abbr, name, phone) of legend lines such as `AB(12) Dr. Name 0500000000`, the first of each abbreviation."""
+    pattern = "\\b([A-Z]{2,5})\\s*\\([^)]*\\)\\s*(Dr\\.? [\\p{L} .'-]+?)\\s*(05[0-9]{8})"
+    part = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    rows = lines.select(*keys, F.posexplode(F.arrays_zip(part(1).alias("abbr"), part(2).alias("name"), part(3).alias("phone"))).alias("_pos", "_l"))
+    return rows.groupBy(*keys, F.col("_l")["abbr"].alias("abbr")).agg(F.min_by(F.col("_l")["name"], "_pos").alias("name"), F.min_by(F.col("_l")["phone"], "_pos").alias("phone"))
+
+
+def dictionary_words(text: Column, words: Sequence[str]) -> Column:
+    """The known words found in a text, in order, longer ones first where they overlap."""
+    import re
+
+    if not words:
+        return F.array().cast("array<string>")
+    known = "|".join(re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)))
+    return F.regexp_extract_all(text, F.lit(f"(?i)(?<![\\p{{L}}])({known})(?![\\p{{L}}])"), F.lit(1))
+
+
+def valid_name(name: Column, never: Sequence[str] = ()) -> Column:
+    """Whether a text can be a person's name: 3 to 80 letters long, none of the words that never are, at least one
+    letter, no digits only, no clock time or date."""
+    t = F.lower(F.trim(name))
+    fine = F.length(t).between(3, 80) & t.rlike("\\p{L}") & ~t.rlike("^[0-9/.: -]+$|^[0-9]{1,2}[:/][0-9]{2}")
+    return F.coalesce(fine & ~t.isin([w.lower() for w in never]) if never else fine, F.lit(False))

@@ -23,7 +23,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _snapshot_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "rota_snapshot")
-    state = [F.lower(F.trim("specialty")), instant(F.col("created_at")), json_text(F.col("data"))]
+    at = F.coalesce(instant(F.col("created_at")).cast("string"), F.trim("created_at"))  # unreadable instants as typed
+    state = [F.lower(F.trim("specialty")), at, json_text(F.col("data"))]
     return rows, snapshot_changes(rows, "snap_no", ["record_id"], state, "delivered_at")
 
 
