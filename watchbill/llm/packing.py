@@ -120,10 +120,11 @@ def pack(items: DataFrame, targets: DataFrame, id: str, tokens: str, name: str =
     No container holds more than its capacity, every token of every item lies in exactly one container of each kind,
     and no item is split unless it alone is larger than the capacity: then it gives full containers of its own and one
     remainder (piece counts from 1, start is its first token). Items of null or no tokens have nothing to place and
-    give no row; repeated ids are items of their own. Kinds without a positive capacity give no rows. bin is unique
+    give no row; repeated ids are items of their own. Kinds without a positive capacity give no rows;
+    of several capacities of one kind the smallest counts. bin is unique
     within a kind. The result depends on ids and sizes alone, not on the order of rows.
     """
-    kinds = targets.where(f"`{capacity}` > 0 and `{name}` is not null").select(F.col(name).alias("kind"), F.col(capacity).cast("int").alias("capacity")).distinct()
+    kinds = targets.where(f"`{capacity}` > 0 and `{name}` is not null").groupBy(F.col(name).alias("kind")).agg(F.min(capacity).cast("int").alias("capacity"))
     sized = items.where(f"`{tokens}` > 0").select(F.col(id).alias("id"), F.col(tokens).cast("bigint").alias("size"))
     pieces = sized.crossJoin(F.broadcast(kinds.limit(1000)))  # a stated set of kinds, a handful, against all items
     pieces = pieces.select("kind", "capacity", "id", F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.col("capacity"))).alias("piece", "start"), "size")
@@ -157,5 +158,6 @@ def pack(items: DataFrame, targets: DataFrame, id: str, tokens: str, name: str =
 def fills(packed: DataFrame, targets: DataFrame, name: str = "pack_name", capacity: str = "capacity_tokens") -> DataFrame:
     """(name, bins, tokens, least_bins, fill) of a packing: least_bins is the fewest that could hold the tokens."""
     sums = packed.groupBy(name).agg(F.countDistinct("bin").alias("bins"), F.sum("tokens").alias("tokens"))
-    out = sums.join(F.broadcast(targets.select(name, capacity).distinct().limit(1000)), name)
+    sizes = targets.where(f"`{capacity}` > 0").groupBy(name).agg(F.min(capacity).alias(capacity))
+    out = sums.join(F.broadcast(sizes.limit(1000)), name)
     return out.select(name, "bins", "tokens", F.ceil(F.col("tokens") / F.col(capacity)).alias("least_bins"), (F.col("tokens") / (F.col("bins") * F.col(capacity))).alias("fill"))
