@@ -57,7 +57,27 @@ _MINUTE = r"""case
   when regexp_full_match({t}, '(0?[1-9]|1[0-2]):[0-5][0-9] ?[ap]m') then cast(split_part({t}, ':', 1) as int) % 12 * 60 + cast(substr(split_part({t}, ':', 2), 1, 2) as int) + case when {t} like '%pm' then 720 else 0 end
 end"""
 
+# A JSON object as its sorted keys with the type and the unescaped value of each, hours one level deeper.
+_FLAT = "array_to_string(list_transform(list_sort(json_keys({o})), lambda k: k || '=' || json_type({o}, '$.' || k) || ':' || coalesce({v}, '')), ',')"
+_INNER = _FLAT.format(o="(e->'$.hours')", v="(e->'$.hours')->>('$.' || k)").replace("lambda k", "lambda h").replace("|| k", "|| h").replace(": k ||", ": h ||")
+_ENTRY = _FLAT.format(o="e", v=f"case when k = 'hours' and json_type(e, '$.hours') = 'OBJECT' then {_INNER} else e->>('$.' || k) end")
+_DATA = _FLAT.format(o="data", v=f"case when k = 'entries' and json_type(data, '$.entries') = 'ARRAY' then array_to_string(list_transform(cast(data->'$.entries' as json[]), lambda e: {_ENTRY}), ';') else data->>('$.' || k) end")
+
 ORACLE = {
+    "p2_found": f"""
+with r as (
+  select snap_no, record_id, delivered_at, lower(trim(specialty)) as s,
+    epoch_us(cast(regexp_replace(regexp_replace(created_at, 'T', ' '), '([+-][0-9]{{2}})$', '\\1:00') as timestamptz)) as at, {_DATA} as d, data is null as empty
+  from rota_snapshot),
+one as (select * from (select *, row_number() over (partition by snap_no, record_id order by delivered_at desc) as n from r) where n = 1),
+steps as (select snap_no, lag(snap_no) over (order by snap_no) as prior from (select distinct snap_no from r)),
+a as (select s.snap_no, o.record_id, o.s, o.at, o.d, o.empty from steps s join one o on o.snap_no = s.prior),
+b as (select o.* from one o join steps s on o.snap_no = s.snap_no where s.prior is not null)
+select coalesce(a.snap_no, b.snap_no) as snap_no, coalesce(a.record_id, b.record_id) as record_id,
+  case when a.record_id is null then 'added' when b.record_id is null then 'removed' else 'changed' end as change
+from a full join b on a.snap_no = b.snap_no and a.record_id = b.record_id
+where a.record_id is null or b.record_id is null or a.s is distinct from b.s or a.at is distinct from b.at or a.d is distinct from b.d or a.empty <> b.empty
+""",
     "p3_found": f"""
 with typed as (
   select upload_id, lower(trim(regexp_replace(role, '\\s+', ' ', 'g'))) as role, duty_date,
