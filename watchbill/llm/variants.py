@@ -20,7 +20,7 @@ from watchbill.operators.grouped import stream_groups
 from watchbill.sources.tables import written
 
 NO_SITE = "\ue0f0"  # rows without a site form one of their own
-SHARD = 4_000  # names of a site in one trie; larger sites are split, and every two splits meet once
+SHARD = 10_000  # names of a site in one trie; larger sites are split, and every two splits meet once
 
 
 def trie_of(words: list[str]) -> dict:
@@ -149,19 +149,19 @@ def shard_links(names: list[tuple[int, int, str]]) -> tuple[list, dict]:
     words = {i: tokens(t) for i, _, t in names}
     side = {i: s for i, s, _ in names}
     mixed = len(set(side.values())) > 1
+    # of two sides one is in the trie and the other walks it
+    held = {i: ws for i, ws in words.items() if not mixed or side[i]}
+    asked = {i: ws for i, ws in words.items() if not mixed or not side[i]}
     holders: dict[str, list[int]] = defaultdict(list)
-    for i, ws in words.items():
+    for i, ws in held.items():
         for w in {w[1] for w in ws if len(w[0]) > 1}:
             holders[w].append(i)
     root = trie_of(list(holders))
-    prefixes: dict[str, list[str]] = defaultdict(list)
-    for w in holders:
-        prefixes[w[:3]].append(w)
-    near = {w: {x for x, _ in neighbours(root, w, reach(w))} for w in holders}
+    near = {w: {x for x, _ in neighbours(root, w, reach(w))} for w in {w[1] for ws in asked.values() for w in ws if len(w[0]) > 1}}
     short_of = {i: kind(ws) for i, ws in words.items()}
-    wide = {w: sum(len(holders[x]) for x in near[w]) for w in holders}
+    wide = {w: sum(len(holders[x]) for x in near[w]) for w in near}
     links = []
-    for i, ws in words.items():
+    for i, ws in asked.items():
         if short_of[i] == "none":
             continue
         own = sorted({w[1] for w in ws if len(w[0]) > 1}, key=lambda w: (wide[w], w))
@@ -171,15 +171,17 @@ def shard_links(names: list[tuple[int, int, str]]) -> tuple[list, dict]:
             for x in near[w]:
                 found.update(holders[x])
         for j in found:
-            if j == i or (mixed and side[i] == side[j]):
+            if j == i:
                 continue
-            if short_of[i] == "full" and short_of[j] == "full":
-                if i < j and (c := same_name(ws, words[j])) is not None and c <= 4:
-                    links.append((i, j, c, True))
-            elif short_of[i] == "short" and short_of[j] == "full":
-                c = short_cost(ws, words[j])
-                if c is not None:
+            kinds = short_of[i], short_of[j]
+            if kinds == ("full", "full"):
+                if (mixed or i < j) and (c := same_name(ws, words[j])) is not None and c <= 4:
+                    links.append((min(i, j), max(i, j), c, True))
+            elif kinds == ("short", "full"):
+                if (c := short_cost(ws, words[j])) is not None:
                     links.append((i, j, c, False))
+            elif kinds == ("full", "short") and mixed and (c := short_cost(words[j], ws)) is not None:
+                links.append((j, i, c, False))
     return links, words
 
 
