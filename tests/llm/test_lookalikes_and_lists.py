@@ -29,6 +29,20 @@ def test_visible_differences(a, b):
     assert form(a) != form(b)
 
 
+@pytest.mark.parametrize("a,b", [
+    ("\u0643\u0631\u064a\u0645", "\u06a9\u0631\u06cc\u0645"), ("\u064a\u200c\u0645", "\u06cc\u0645"), ("\u0639\u0644\u0649", "\u0639\u0644\u06cc"), ("\u0631\u064a\u064e\u0645", "\u0631\u06cc\u064e\u0645"),
+    ("\u0631\u0626", "\u0631\u06cc\u0654"), ("\u0631\u064a\u0645", "\u0631\ufbff\u0645"), ("\u0661\u0662", "\u06f1\u06f2"), ("Son", "\u054f\u0585\u0578"), ("TOM", "\u13a2O\u13b7")])
+def test_equal_looks_of_arabic_and_rarer_scripts(a, b):
+    form = rewriter(a, b, "\ufbff" * 9)
+    assert form(a) == form(b)
+
+
+@pytest.mark.parametrize("a,b", [("\u0639\u0644\u064a", "\u0639\u0644\u06cc"), ("\u0645\u0644\u0643", "\u0645\u0644\u06a9"), ("\u0645\u06af", "\u0645\u0643"), ("\u0664", "\u06f4")])
+def test_arabic_letters_that_differ_at_the_end_of_a_word(a, b):
+    form = rewriter(a, b)
+    assert form(a) != form(b)
+
+
 def test_classes_are_transitive_and_follow_frequency():
     table = representatives(lookalike_classes(["Ａ", "А", "A", "Α"]), {"А": 5, "A": 1})
     assert {table.get(c, c) for c in "ＡАAΑ"} == {"А"}

@@ -93,3 +93,7 @@ def test_small_tables(spark, small):
     c = spark.read.parquet(f"{small}/contact.parquet").where(F.col("name").isNotNull())
     equal = c.alias("a").join(c.alias("b"), ["site_code", "name", "specialty", "phone"]).where("a.contact_id < b.contact_id").select("a.contact_id", "b.contact_id")
     assert {tuple(r) for r in equal.collect()} <= pairs
+
+
+def test_persian_letters_read_like_arabic_ones():
+    assert tokens("\u06a9\u0631\u06cc\u0645") == tokens("\u0643\u0631\u064a\u0645") and tokens("\u06a9\u0631\u06cc\u0645")[0][0].isascii()

@@ -8,6 +8,7 @@ themselves, and texts are rewritten greedily, longest match first, by an Aho-Cor
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 
@@ -16,18 +17,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts drawn like a Latin letter, Cyrillic then Greek, and other letters drawn alike.
+# Letters of other scripts drawn like a Latin letter: Cyrillic, Greek and other letters; Cyrillic like Greek,
+# Armenian and Georgian, Cherokee, Lisu, Coptic; digits of Persian like Arabic ones (4, 5 and 6 are drawn differently).
 LOOKALIKES = """
 А A, В B, С C, Е E, Н H, І I, Ј J, К K, М M, О O, Р P, Ѕ S, Т T, Х X, У Y, Ԛ Q, Ԝ W, Һ h,
 а a, с c, е e, һ h, і i, ј j, о o, р p, ѕ s, х x, у y, ԁ d, ԛ q, ԝ w, ӏ l, Ӏ I, ѵ v,
 Α A, Β B, Ε E, Ζ Z, Η H, Ι I, Κ K, Μ M, Ν N, Ο O, Ρ P, Τ T, Υ Y, Χ X, ϲ c, Ϲ C, ϳ j, Ϳ J,
-ο o, ν v, ι i, ρ p, α a, υ u, ɡ g, ɑ a, ı i, ʟ L
+ο o, ν v, ι i, ρ p, α a, υ u, ɡ g, ɑ a, ı i, ʟ L,
+Г Γ, П Π, Ф Φ, к κ, Ү Y, Ӕ Æ, ӕ æ,
+օ o, Օ O, Տ S, Ս U, Լ L, հ h, յ j, ո n, ս u, ց g, զ q, ყ y, ჿ o,
+Ꭰ D, Ꭲ T, Ꭺ A, Ꭻ J, Ꭼ E, Ꮃ W, Ꮇ M, Ꮋ H, Ꮐ G, Ꮓ Z, Ꮪ S, Ꮩ V, Ꮮ L, Ꮯ C, Ꮲ P, Ꮶ K, Ᏼ B, Ꮢ R,
+ꓐ B, ꓑ P, ꓓ D, ꓔ T, ꓖ G, ꓗ K, ꓙ J, ꓚ C, ꓜ Z, ꓝ F, ꓟ M, ꓠ N, ꓡ L, ꓢ S, ꓣ R, ꓦ V, ꓧ H, ꓪ W, ꓫ X, ꓬ Y, ꓮ A, ꓰ E, ꓲ I, ꓳ O, ꓴ U,
+Ⲟ O, ⲟ o, Ⲣ P, ⲣ p, Ⲥ C, ⲥ c, Ⲕ K, Ⲙ M, Ⲛ N, Ⲏ H, Ⲓ I, Ⲧ T, Ⲩ Y, Ⲭ X, Ⲃ B,
+۰ ٠, ۱ ١, ۲ ٢, ۳ ٣, ۷ ٧, ۸ ٨, ۹ ٩
 """
 # Hyphens drawn like the ASCII one, apostrophes like the straight one, blanks that Unicode lists as format characters.
 HYPHENS = "‐‑⁃﹣－‒−"
 APOSTROPHES = "‘’ʼʹ′＇"
+# Letters of Persian and Urdu drawn like an Arabic one before a letter they join, or only elsewhere.
+JOINED = {"\u06cc": "\u064a", "\u06a9": "\u0643", "\u06be": "\u0647"}
+UNJOINED = {"\u06cc": "\u0649", "\u06c1": "\u0647", "\u06d5": "\u0647"}
 INVISIBLE = "\u180e\u200b\ufeff\u2060\u00ad\u034f\u115f\u1160\u3164"
 
+_ARABIC = "\u0620\u0622-\u064a\u066e-\u0673\u0675-\u06d3\u06d5\u06ee\u06ef\u06fa-\u06ff\ufb50-\ufdff\ufe70-\ufefc"
+_MARKS = "\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc"
+# with a hamza above Farsi yeh has no dots anywhere, like the Arabic yeh with one
+_JOINED = re.compile(f"\u06cc(?=\u0654)|[{''.join(JOINED)}](?=[{_MARKS}]*[{_ARABIC}])")
+_UNJOINED = re.compile(f"[{''.join(UNJOINED)}](?!\u0654|[{_MARKS}]*[{_ARABIC}])")
+
+
+def by_position(text: str) -> str:
+    """Decomposed text with letters that look like an Arabic one at their place in the word replaced by it."""
+    return _UNJOINED.sub(lambda m: UNJOINED[m[0]], _JOINED.sub(lambda m: JOINED[m[0]], text))
+
 
 class Classes:
     """Union-find over strings, the empty string among them."""
@@ -85,11 +107,11 @@ def lookalike_classes(alphabet: Sequence[str]) -> list[list[str]]:
 def representatives(classes: list[list[str]], counts: dict[str, int]) -> dict[str, str]:
     """Member to representative: the member most frequent in the texts, the ASCII and then the smaller one on ties.
 
-    The class of the empty string is represented by it.
+    The class of the empty string is represented by it, one with a letter that looks different by its place by that.
     """
     out = {}
     for members in classes:
-        best = "" if "" in members else min(members, key=lambda m: (-counts.get(m, 0), not m.isascii(), len(m), m))
+        best = "" if "" in members else min(members, key=lambda m: (m not in JOINED and m not in UNJOINED, -counts.get(m, 0), not m.isascii(), len(m), m))
         out |= {m: best for m in members if m != best}
     return out
 
@@ -114,14 +136,14 @@ class Rewriter:
         if not text:
             return text
         if not self.any:
-            return unicodedata.normalize("NFC", text)
+            return unicodedata.normalize("NFC", by_position(unicodedata.normalize("NFD", text)))
         text = unicodedata.normalize("NFD", text)
         for _ in range(8):
             out, at = [], 0
             for end, (length, best) in self.automaton.iter_long(text):
                 out += (text[at : end + 1 - length], best)
                 at = end + 1
-            new = unicodedata.normalize("NFD", "".join(out) + text[at:])
+            new = by_position(unicodedata.normalize("NFD", "".join(out) + text[at:]))
             if new == text:
                 break
             text = new

@@ -13,7 +13,7 @@ PARTICLES = frozenset("al el bin ibn bint the and of".split())
 ARABIC = dict(zip(
     "ا أ إ آ ب ت ث ج ح خ د ذ ر ز س ش ص ض ط ظ ع غ ف ق ك ل م ن ه ة و ؤ ي ى ئ پ چ ڤ گ".split(),
     "a a a a b t th j h kh d d r z s sh s d t z a g f k k l m n h a u u i i i b sh f g".split(),
-)) | {"ء": ""}
+)) | {"ء": "", "\u06cc": "i", "\u06a9": "k"}
 CYRILLIC = dict(zip(
     "а б в г д е ё ж з и й к л м н о п р с т у ф х ц ч ш щ ы э ю я і ј ѕ һ ԁ".split(),
     "a b v g d e e j z i i k l m n o p r s t u f kh ts sh sh sh i e u a i j s h d".split(),
