@@ -86,6 +86,16 @@ def test_ladder_finds_what_all_pairs_find(spark):
     assert got == want and len(want) > 15
 
 
+def test_ladder_uses_initials(spark):
+    contacts = spark.createDataFrame([(1, "Ahmed Al-Harbi", "051"), (1, "Badr Harbi", "052"), (1, "Sara Khan", "053"), (1, "Sara Malik", "054"), (1, "Omar Zahrani", "055"), (1, "Omar Q Zahrani", "055"), (2, "Nora Harbi", "056")], "site int, name string, phone string")
+    rows = spark.createDataFrame([(1, 1, "A. Harbi"), (2, 1, "B Harby"), (3, 1, "Sara.K"), (4, 1, "Dr. Sara M"), (5, 1, "C. Harbi"), (6, 1, "X. Zahrany"), (7, 2, "A. Harbi"), (8, 1, "Sara"), (9, 1, "Z. Unknown"), (10, 1, "O. Zaharni")], "id int, site int, name string")
+    got = sorted(tuple(x) for x in M.ladder(rows, "id", "name", ["site"], contacts, "name", "phone").collect())
+    assert got == [(1, 5, "051", False), (2, 5, "052", False), (3, 1, "053", False), (4, 1, "054", False), (6, 3, "055", False), (7, 1, "056", False), (10, 3, "055", False)]
+    one = spark.createDataFrame([(1, "Nora Saadi", "057")], "site int, name string, phone string")
+    rows = spark.createDataFrame([(1, 1, "N. Soodi"), (2, 1, "M. Soodi"), (3, 1, "N. Soodo")], "id int, site int, name string")
+    assert sorted(tuple(x) for x in M.ladder(rows, "id", "name", ["site"], one, "name", "phone").collect()) == [(1, 5, "057", False), (2, 5, "057", True)]
+
+
 def test_rules(spark):
     df = spark.createDataFrame([("a er day",), ("1st",), (None,)], "role string")
     assert [r[0] for r in df.select(lane(F.col("role"), [("er", "\\ber\\b", "night"), ("first", "1st", None)])).collect()] == ["er", "first", None]

@@ -1,4 +1,4 @@
-"""Joins of typed names to contacts: equal, canonical, laddered, scored and keyed.
+"""Joins of typed names to contacts: equal, canonical, laddered and keyed.
 
 A rule of a ladder counts only if all contacts it finds for a row have one and the same phone; else the next rule is
 tried. Candidates are found by shared keys (a block such as the specialty, and short forms of words), never by a cross
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchbill.functions.distance import name_rule
+from watchbill.functions.distance import name_rule, osa
 from watchbill.functions.text import canonical_name
 
 
@@ -49,6 +49,10 @@ def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: Da
     `block` columns. Rows without name, contacts without phone take no part. Contacts are reduced to distinct (block,
     name, phone) first. Candidates come from an equi join on keys of the longest word looked for, which a rule's first
     condition is that it fits; the keys are complete for every rule.
+
+    Rows that no rule resolves are narrowed by an initial. 4.5: of the first rule that finds several phones those stay
+    that a contact has whose last word starts with the name's single letter; one left counts under that rule. 5: names
+    of an initial and one word go to the contacts whose last word it is, give or take two letters (`initial_last`).
     """
     block = list(block)
     left = df.where(F.col(name).isNotNull()).select(F.col(id).alias("_id"), *block, F.split(canonical_name(F.col(name)), " ").alias("_t"))
@@ -62,9 +66,50 @@ def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: Da
     # comparing words costs more than the few bytes of a pair suggest: keep AQE from putting all pairs in one task
     pairs = a.join(b, [*block, "_g"]).select(*block, "_t", "_c", "_phone").distinct().repartition(cores)
     ruled = pairs.withColumn("rule", name_rule(F.col("_t"), F.col("_c"))).where("rule is not null")
-    unique = ruled.groupBy(*block, "_t", "rule").agg(F.min("_phone").alias("phone"), F.max("_phone").alias("_other")).where("phone = _other")
-    first = unique.groupBy(*block, "_t").agg(F.min_by(F.struct("rule", "phone"), "rule").alias("_m"))
-    return left.join(first, [*block, "_t"]).select(F.col("_id").alias(id), "_m.rule", "_m.phone", (F.col("_m.rule") == 4).alias("uncertain"))
+    # rungs in order: the rules, the rules narrowed by an initial, initial and last word
+    letter = F.try_element_at(F.filter("_t", lambda w: F.length(w) == 1), F.lit(1))
+    lasts = right.where(F.size("_c") >= 2).select(*block, "_phone", F.element_at("_c", -1).alias("_last")).distinct()
+    of_letter = ruled.where(letter.isNotNull()).select(*block, "_t", "rule", "_phone").distinct().join(lasts, [*block, "_phone"])
+    narrowed = _one_phone(of_letter.where(F.startswith("_last", letter)), [*block, "_t"])
+    rungs = _one_phone(ruled, [*block, "_t"]).withColumn("_rung", F.lit(0)).unionByName(narrowed.withColumn("_rung", F.lit(1)))
+    first = rungs.groupBy(*block, "_t").agg(F.min_by(F.struct("rule", "phone"), F.struct("_rung", "rule")).alias("_m"))
+    typed = df.where(F.col(name).isNotNull()).select(F.col(id).alias("_id"), *block, F.col(name).alias("_n"))
+    ruled_rows = left.join(first, [*block, "_t"]).select("_id", "_m.rule", "_m.phone", (F.col("_m.rule") == 4).alias("uncertain"), F.lit(0).alias("_rung"))
+    both = ruled_rows.unionByName(initial_last(typed, block, right, cores).withColumn("_rung", F.lit(1)))
+    best = both.groupBy("_id").agg(F.min("_rung").alias("_rung"))
+    return both.join(best, ["_id", "_rung"]).select(F.col("_id").alias(id), "rule", "phone", "uncertain")
+
+
+def _one_phone(ruled: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., rule, phone) where a rule finds one phone only."""
+    out = ruled.groupBy(*keys, "rule").agg(F.min("_phone").alias("phone"), F.max("_phone").alias("_other"))
+    return out.where("phone = _other").drop("_other")
+
+
+def initial_last(typed: DataFrame, block: list[str], contacts: DataFrame, parts: int) -> DataFrame:
+    """(_id, rule, phone, uncertain) of names typed as an initial and a last word (D3, rung 5).
+
+    The last word of a contact (two words or more) fits if it is equal, longer or shorter by two letters at its end, or,
+    from four letters, within two edits. One phone: it counts, uncertain unless a contact's first word starts with the
+    initial. Several: those whose first word does, if they have one phone.
+    """
+    bare = F.trim(F.regexp_replace("_n", "^[Dd][Rr]\\.?\\s*", ""))
+    shape = "^([A-Za-z])[.\\s]+([A-Za-z]{3,})$"
+    rows = typed.select("_id", *block, F.lower(F.regexp_extract(bare, shape, 1)).alias("_i"), canonical_name(F.regexp_extract(bare, shape, 2)).alias("_w")).where("_i <> '' and _w <> ''")
+    near = lambda w: F.array_distinct(F.concat(F.array(w), _less(F.array(w)), _less(F.array_distinct(_less(F.array(w))))))
+    people = contacts.where(F.size("_c") >= 2).select(*block, "_phone", F.element_at("_c", 1).alias("_first"), F.element_at("_c", -1).alias("_last"))
+    a = rows.select(*block, "_w").distinct().withColumn("_g", F.explode(near(F.col("_w"))))
+    b = people.select(*block, "_last").distinct().withColumn("_g", F.explode(near(F.col("_last"))))
+    pairs = a.join(b, [*block, "_g"]).select(*block, "_w", "_last").distinct().repartition(parts)
+    w, last = F.col("_w"), F.col("_last")
+    start = (F.startswith(last, w) | F.startswith(w, last)) & (F.abs(F.length(last) - F.length(w)) <= 2)
+    edits = F.when((F.length(w) >= 4) & (F.length(last) >= 4) & (F.levenshtein(w, last, 4) >= 0), osa(w, last) <= 2)
+    fits = pairs.where((w == last) | start | F.coalesce(edits, F.lit(False)))
+    initial = F.startswith("_first", F.col("_i"))
+    hits = rows.join(fits, [*block, "_w"]).join(people, [*block, "_last"]).groupBy("_id", *block).agg(
+        F.min("_phone").alias("_a"), F.max("_phone").alias("_b"), F.min(F.when(initial, F.col("_phone"))).alias("_ia"), F.max(F.when(initial, F.col("_phone"))).alias("_ib"))
+    phone = F.when(F.col("_a") == F.col("_b"), F.col("_a")).when(F.col("_ia") == F.col("_ib"), F.col("_ia"))
+    return hits.select("_id", F.lit(5).alias("rule"), phone.alias("phone"), F.col("_ia").isNull().alias("uncertain")).where("phone is not null")
 
 
 def by_keys(df: DataFrame, id: str, keys: Column, contacts: DataFrame, contact_keys: Column, value: str) -> DataFrame:

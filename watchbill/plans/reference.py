@@ -303,7 +303,7 @@ def canonical_join(spark, d):
 
 @query()
 def ladder_match(spark, d):
-    """Entries resolved to one phone of their site by the first rule that is unambiguous."""
+    """Entries resolved to one phone of their site by the first rule that is unambiguous, or by an initial."""
     c = table(spark, d, "contact").select("site_code", "name", clean_phone(F.col("phone")).alias("p"))
     return M.ladder(table(spark, d, "entry"), "entry_id", "name", ["site_code"], c, "name", "p")
 
