@@ -54,3 +54,17 @@ def test_whole_small_table(spark, small):
         a, b = state[n - 1], state[n]
         want |= {(n, k, "added") for k in b.keys() - a.keys()} | {(n, k, "removed") for k in a.keys() - b.keys()} | {(n, k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
     assert {tuple(r) for r in p2_found(spark, small).collect()} == want
+
+
+def test_every_consecutive_pair(spark):
+    from watchbill.operators.analytics import changes_log
+    from watchbill.operators.quality import version_loss
+    from watchbill.operators.resolve import changed_groups
+    from watchbill.operators.snapshots import consecutive
+
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (3, "a", 1), (7, "a", 1), (7, "b", 5), (None, "a", 9)], "snap int, k string, v int")
+    old, new = consecutive(df, "snap")
+    assert {tuple(r) for r in changed_groups(old, new, ["snap", "k"], F.col("v")).collect()} == {(3, "a", "changed"), (7, "b", "added")}
+    assert {tuple(r) for r in version_loss(old, new, ["snap", "k"]).collect()} == {(3, "a", 2, 1, True), (7, "a", 1, 1, False)}
+    assert {tuple(r)[:3] for r in changes_log(old, new, ["snap", "v"], ["k"]).collect()} == {(3, 2, "delete"), (7, 5, "add")}
+    assert consecutive(df.where("snap = 1"), "snap")[0].count() == 0

@@ -30,18 +30,19 @@ def trend(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: st
     return two.select(*keys, "latest", "previous", change.alias("change"), health.alias("health"))
 
 
-def changes_log(old: DataFrame, new: DataFrame, id: str, columns: Sequence[str]) -> DataFrame:
-    """(id, action, field, old_value, new_value): one row per changed field, and one per added or removed row."""
-    a = old.select(F.col(id), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("_a"))
-    b = new.select(F.col(id), F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("_b"))
+def changes_log(old: DataFrame, new: DataFrame, id: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(id..., action, field, old_value, new_value): one row per changed field, and one per added or removed row."""
+    id = [id] if isinstance(id, str) else list(id)
+    a = old.select(*id, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("_a"))
+    b = new.select(*id, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("_b"))
     both = a.join(b, id, "full")
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"_a.{c}").alias("old_value"), F.col(f"_b.{c}").alias("new_value")) for c in columns])
     edits = F.filter(fields, lambda f: ~f["old_value"].eqNullSafe(f["new_value"]))
     none = F.lit(None).cast("string")
     whole = F.array(F.struct(none.alias("field"), none.alias("old_value"), none.alias("new_value")))
     action = F.when(F.col("_a").isNull(), "add").when(F.col("_b").isNull(), "delete").otherwise("edit")
-    rows = both.select(id, action.alias("action"), F.explode(F.when(F.col("_a").isNull() | F.col("_b").isNull(), whole).otherwise(edits)).alias("_e"))
-    return rows.select(id, "action", "_e.field", "_e.old_value", "_e.new_value")
+    rows = both.select(*id, action.alias("action"), F.explode(F.when(F.col("_a").isNull() | F.col("_b").isNull(), whole).otherwise(edits)).alias("_e"))
+    return rows.select(*id, "action", "_e.field", "_e.old_value", "_e.new_value")
 
 
 def device(agent: Column) -> Column:

@@ -139,3 +139,17 @@ def with_values(changes: DataFrame, df: DataFrame, snap: str, keys: Sequence[str
     out = changes.withColumns({"_new": F.col(snap), "_old": prior[F.col(snap)]})
     out = out.join(side("old"), [*keys, "_old"], "left").join(side("new"), [*keys, "_new"], "left")
     return out.select(snap, *keys, "change", *[f"{s}_{v}" for v in values for s in ("old", "new")])
+
+
+def consecutive(df: DataFrame, snap: str) -> tuple[DataFrame, DataFrame]:
+    """(old, new): rows of every snapshot but the last under the number of the next, and of every one but the first.
+
+    With snap among the keys, operators that compare two versions compare every consecutive pair at once. The numbers
+    present are read first (they are few); rows with a null snap take no part.
+    """
+    steps = sorted(r[0] for r in df.where(F.col(snap).isNotNull()).select(snap).distinct().collect())
+    if len(steps) < 2:
+        return df.limit(0), df.limit(0)
+    following = F.create_map(*[F.lit(x) for pair in zip(steps, steps[1:]) for x in pair])
+    old = df.where(F.col(snap) != steps[-1]).withColumn(snap, following[F.col(snap)].cast(df.schema[snap].dataType))
+    return old, df.where(F.col(snap) != steps[0])

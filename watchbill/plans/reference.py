@@ -17,6 +17,7 @@ from watchbill.operators import rows as W
 from watchbill.operators import search as S
 from watchbill.operators import store as K
 from watchbill.operators import windows as G
+from watchbill.operators.snapshots import consecutive
 from watchbill.plans.problems import _MINUTE
 from watchbill.sources.tables import shared_dir, table
 
@@ -346,6 +347,18 @@ def signature_diff(spark, d):
     return R.changed_groups(s.where("snap_no = 1"), s.where("snap_no = 2"), ["specialty"], F.col("record_id"), F.col("created_at"), F.col("pdf_url"))
 
 
+_STEPS = "steps as (select snap_no, lag(snap_no) over (order by snap_no) as prior from (select distinct snap_no from rota_snapshot where snap_no is not null))"
+
+
+@query(f"""with {_STEPS}, s as (select snap_no, specialty, list_sort(list(coalesce(cast(record_id as varchar), '') || '|' || coalesce(created_at, '') || '|' || coalesce(pdf_url, ''))) as sig from rota_snapshot group by all),
+a as (select t.snap_no, specialty, sig from s join steps t on s.snap_no = t.prior), b as (select s.* from s join steps t on s.snap_no = t.snap_no where prior is not null)
+select coalesce(a.snap_no, b.snap_no) as snap_no, coalesce(a.specialty, b.specialty) as specialty, case when a.sig is null then 'added' when b.sig is null then 'removed' else 'changed' end as kind from a full join b on a.snap_no = b.snap_no and a.specialty = b.specialty where a.sig is distinct from b.sig""")
+def signature_diffs(spark, d):
+    """Specialties whose bag of records differs from each snapshot to the next."""
+    old, new = consecutive(table(spark, d, "rota_snapshot"), "snap_no")
+    return R.changed_groups(old, new, ["snap_no", "specialty"], F.col("record_id"), F.col("created_at"), F.col("pdf_url"))
+
+
 @query("""select edit_id, min(upload_id) as upload_id from rota_edit e left join upload u on e.site_code = u.site_code and e.specialty = u.specialty and e.created_at >= u.uploaded_at and e.created_at < u.uploaded_at + interval 7 day group by edit_id""")
 def interval_lookup(spark, d):
     """The first upload of its site and specialty in whose first week an edit falls."""
@@ -399,6 +412,14 @@ def version_loss(spark, d):
     return Q.version_loss(s.where("snap_no = 5"), s.where("snap_no = 6"), ["specialty"])
 
 
+@query(f"""with {_STEPS}, n as (select snap_no, specialty, count(*) as n from rota_snapshot group by 1, 2)
+select t.snap_no, a.specialty, a.n as before, coalesce(b.n, 0) as after, coalesce(b.n, 0) < 0.6 * a.n as loss from n a join steps t on a.snap_no = t.prior left join n b on b.snap_no = t.snap_no and a.specialty = b.specialty""")
+def version_losses(spark, d):
+    """Specialties that lost rows from each snapshot to the next (H8)."""
+    old, new = consecutive(table(spark, d, "rota_snapshot"), "snap_no")
+    return Q.version_loss(old, new, ["snap_no", "specialty"])
+
+
 @query("""select site_code, duty_date, section, shift, count(*) as n from imaging group by all having count(*) > 1""")
 def slot_cardinality(spark, d):
     """Imaging slots filled more than once."""
@@ -462,6 +483,21 @@ def audit_diff(spark, d):
     return A.changes_log(one(5), one(6), "record_id", ["specialty", "date_text", "pdf_url"])
 
 
+@query(f"""with {_STEPS}, o as (select * from (select *, row_number() over (partition by snap_no, record_id order by delivered_at desc, specialty, date_text nulls first, pdf_url nulls first) as n from rota_snapshot) where n = 1),
+a as (select t.snap_no, record_id, specialty, date_text, pdf_url from o join steps t on o.snap_no = t.prior), b as (select o.* from o join steps t on o.snap_no = t.snap_no where prior is not null),
+j as (select coalesce(a.snap_no, b.snap_no) as snap_no, coalesce(a.record_id, b.record_id) as record_id, a.record_id is null as is_new, b.record_id is null as is_gone, a.specialty as s0, b.specialty as s1, a.date_text as d0, b.date_text as d1, a.pdf_url as p0, b.pdf_url as p1 from a full join b on a.snap_no = b.snap_no and a.record_id = b.record_id)
+select snap_no, record_id, 'add' as action, null::varchar as field, null::varchar as old_value, null::varchar as new_value from j where is_new
+union all select snap_no, record_id, 'delete', null, null, null from j where is_gone
+union all select snap_no, record_id, 'edit', 'specialty', s0, s1 from j where not is_new and not is_gone and s0 is distinct from s1
+union all select snap_no, record_id, 'edit', 'date_text', d0, d1 from j where not is_new and not is_gone and d0 is distinct from d1
+union all select snap_no, record_id, 'edit', 'pdf_url', p0, p1 from j where not is_new and not is_gone and p0 is distinct from p1""")
+def audit_diffs(spark, d):
+    """Change log from each snapshot to the next: one row per changed field."""
+    one = lambda s: G.best_by(s, ["snap_no", "record_id"], F.desc("delivered_at"), F.asc("specialty"), F.asc_nulls_first("date_text"), F.asc_nulls_first("pdf_url"))
+    old, new = consecutive(table(spark, d, "rota_snapshot"), "snap_no")
+    return A.changes_log(one(old), one(new), ["snap_no", "record_id"], ["specialty", "date_text", "pdf_url"])
+
+
 @query("""select event_type, count(*) as n, sum(cast(json_extract(props, '$.k') as bigint)) as k from events group by event_type""")
 def json_props(spark, d):
     """Sums of a field of JSON text (K)."""
