@@ -97,3 +97,11 @@ def test_small_tables(spark, small):
 
 def test_persian_letters_read_like_arabic_ones():
     assert tokens("\u06a9\u0631\u06cc\u0645") == tokens("\u0643\u0631\u064a\u0645") and tokens("\u06a9\u0631\u06cc\u0645")[0][0].isascii()
+
+
+def test_names_that_share_only_their_most_widespread_word():
+    crowd = [(10 + i, 0, f"{w} Clinic Harbi") for i, w in enumerate(["Foxtrot", "Golf", "Hotel", "Kilogram", "Lima"])]
+    for a, b in (("Cobalt Dialysis Clinic", "Cob. Dial. Clinic"), ("Abdul Rahman Harbi", "Abdulrahman Harbi")):
+        for x, y in ((a, b), (b, a)):
+            assert (1, 2) in {(i, j) for i, j, _, strong in shard_links([(1, 0, x), (2, 0, y), *crowd])[0] if strong}
+            assert (1, 2) in {(i, j) for i, j, _, strong in shard_links([(1, 0, x), (2, 1, y), *[(i, i % 2, n) for i, _, n in crowd]])[0] if strong}

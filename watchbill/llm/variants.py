@@ -20,6 +20,7 @@ from watchbill.operators.grouped import stream_groups
 from watchbill.sources.tables import written
 
 NO_SITE = "\ue0f0"  # rows without a site form one of their own
+FAR = 2  # the largest reach of a word
 SHARD = 10_000  # names of a site in one trie; larger sites are split, and every two splits meet once
 
 
@@ -157,17 +158,16 @@ def shard_links(names: list[tuple[int, int, str]]) -> tuple[list, dict]:
         for w in {w[1] for w in ws if len(w[0]) > 1}:
             holders[w].append(i)
     root = trie_of(list(holders))
-    near = {w: {x for x, _ in neighbours(root, w, reach(w))} for w in {w[1] for ws in asked.values() for w in ws if len(w[0]) > 1}}
+    # as far as the longer reach of the two words, so that either name finds the other
+    near = {w: {x for x, d in neighbours(root, w, FAR) if d <= max(reach(w), reach(x))} for w in {w[1] for ws in asked.values() for w in ws if len(w[0]) > 1}}
     short_of = {i: kind(ws) for i, ws in words.items()}
-    wide = {w: sum(len(holders[x]) for x in near[w]) for w in near}
     links = []
     for i, ws in asked.items():
         if short_of[i] == "none":
             continue
-        own = sorted({w[1] for w in ws if len(w[0]) > 1}, key=lambda w: (wide[w], w))
-        # names of three words or more share two with any name they fit: the most widespread word is not needed
+        # every word is looked up: a name may share only its most widespread one, its others being shortened or glued
         found: set[int] = set()
-        for w in own[:-1] if len(own) > 2 else own:
+        for w in {w[1] for w in ws if len(w[0]) > 1}:
             for x in near[w]:
                 found.update(holders[x])
         for j in found:
