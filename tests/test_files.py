@@ -1,5 +1,6 @@
 """Exchange formats and streams."""
 
+import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -52,3 +53,16 @@ def test_written(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert {tuple(r) for r in written(df).collect()} == {(1, None), (2, "x")}
     assert written(df.limit(0)).count() == 0
+
+
+def test_events_of_later_files_count(spark, tmp_path, monkeypatch):
+    import watchbill.streaming.clicks as C
+    from watchbill.plans.reference import click_stream_counts
+
+    for n, (id, at) in enumerate([(1, "2026-01-02 10:00:00"), (2, "2026-01-01 10:00:00"), (2, "2026-01-01 10:00:00"), (3, "2025-12-31 10:00:00")]):
+        df = spark.createDataFrame([(id, at, "a")], "event_id int, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+        os.utime(max((tmp_path / "events.parquet").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns), (1_700_000_000 + n, 1_700_000_000 + n))
+    read = C.read_events
+    monkeypatch.setattr(C, "read_events", lambda *a: read(*a, files_per_trigger=1))
+    assert sorted(str(r["window_start"])[:10] for r in click_stream_counts(spark, str(tmp_path)).collect() for _ in range(r["n"])) == ["2025-12-31", "2026-01-01", "2026-01-02"]

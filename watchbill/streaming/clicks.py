@@ -18,7 +18,10 @@ def read_events(spark: SparkSession, path: str, files: str = "*.parquet", schema
 
 
 def once_each(events: DataFrame, id: str, ts: str, late: str) -> DataFrame:
-    """Events sent again under one id within the watermark are dropped; state older than it is freed."""
+    """Events sent again under one id within the watermark are dropped; state older than it is freed.
+
+    Events that arrive later than the watermark are dropped too: for streams without end, not for whole tables.
+    """
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([id])
 
 
