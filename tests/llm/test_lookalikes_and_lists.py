@@ -100,3 +100,21 @@ def test_map_to_list(spark):
         C.BLOCK = keep
     assert {r["best_id"] for r in map_to_list(df, "name", "phone", ref.limit(0)).collect()} == {0}
     assert map_to_list(df.limit(0), "name", "phone", ref).count() == 0
+
+
+def test_all_words_of_a_cell_are_compared():
+    import itertools
+    import random
+
+    from watchbill.llm.canonical import least_assignment, name_cost
+    from watchbill.llm.names import tokens
+
+    assert name_cost(tokens("kilo lima mike november oscar alpha bravo"), tokens("Alpha Bravo")) == pytest.approx(1.5)
+    six = "Alpha Bravo Charlie Foxtrot Golf Hotel"
+    assert name_cost(tokens(six), tokens(six)) == 0 and name_cost(tokens(six), tokens(six.replace("Hotel", "Zulu"))) is None
+    r = random.Random(5)
+    for _ in range(300):
+        n, m = sorted((r.randint(1, 4), r.randint(1, 6)))
+        costs = [[r.choice([0, 0.3, 1.1, 2.2, float("inf"), float("inf")]) for _ in range(m)] for _ in range(n)]
+        want = min(sum(costs[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert least_assignment(costs) == (pytest.approx(want) if want < float("inf") else None)

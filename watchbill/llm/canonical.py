@@ -73,6 +73,41 @@ def word_cost(q: tuple[str, str, bool], r: tuple[str, str, bool]) -> float:
     return cost if cost <= min(2.4, 0.5 * len(r[0])) else float("inf")
 
 
+def least_assignment(costs: list[list[float]]) -> float | None:
+    """Least sum of one place in each row, all of different columns (rows <= columns); None if each sum is infinite.
+
+    Shortest augmenting paths with potentials, rows x rows x columns steps.
+    """
+    n, m, far = len(costs), len(costs[0]), 1e6
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, came, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[at]:
+            done[at] = True
+            r, delta, following = row_of[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if done[j]:
+                    continue
+                c = min(costs[r - 1][j - 1], far) - u[r] - v[j]
+                if c < least[j]:
+                    least[j], came[j] = c, at
+                if least[j] < delta:
+                    delta, following = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row_of[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = following
+        while at:
+            row_of[at] = row_of[came[at]]
+            at = came[at]
+    total = sum(costs[row_of[j] - 1][j - 1] for j in range(1, m + 1) if row_of[j])
+    return total if total < float("inf") else None
+
+
 def name_cost(typed: list, known: list) -> float | None:
     """Least cost over the orders in which the typed words can be read as the known ones; None if they do not fit.
 
@@ -80,11 +115,12 @@ def name_cost(typed: list, known: list) -> float | None:
     """
     if not typed or not known:
         return None
-    typed, known = typed[:5], known[:5]
     costs = [[word_cost(q, r) for r in known] for q in typed]
     best = None
     small, large = (len(typed), len(known)) if len(typed) <= len(known) else (len(known), len(typed))
-    for places in itertools.permutations(range(large), small):
+    if large > 4:
+        best = least_assignment(costs if len(typed) <= len(known) else [list(c) for c in zip(*costs)])
+    for places in () if large > 4 else itertools.permutations(range(large), small):
         pairs = zip(range(small), places) if len(typed) <= len(known) else zip(places, range(small))
         cost = sum(costs[i][j] for i, j in pairs)
         if cost < float("inf") and (best is None or cost < best):
