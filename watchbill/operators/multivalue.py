@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchbill.functions.clock import let
+
 # Marks used while a field is taken apart; they are removed from the input first.
 _QUOTE, _REMARK, _CUT = "\ue0f1", "\ue0f2", "\ue0f3"
 
@@ -28,11 +30,17 @@ _QUOTED = (
     ("\u201c", f"{_BEFORE}\u201c([^\u201c\u201d]*+)\u201d{_AFTER}", None, None),
     ("\u00ab", f"{_BEFORE}\u00ab([^\u00ab\u00bb]*+)\u00bb{_AFTER}", None, None),
 )
-_NUMBERED = "(?<!\\([^()]{0,60})(^|[\\s,;/|])(?:\\([0-9]{1,2}\\)|[0-9]{1,2}[.)\\-])\\s+(?=\\S)"
+# Numbering, not within an open parenthesis: the look-behind is as long as any text and comes last, where it seldom runs.
+_NUMBERED = "(^|[\\s,;/|])(?=(?:\\([0-9]{1,2}\\)|[0-9]{1,2}[.)\\-])\\s+\\S)(?<!\\([^()]{0,2000000000})(?:\\([0-9]{1,2}\\)|[0-9]{1,2}[.)\\-])\\s+"
 _SEPARATOR = (
     f"[{DELIMITERS}]|(?<=\\s)[-\u2013\u2014](?=\\s)|(?<=\\s)(?:(?i:and)|\u0648)(?=\\s)| {{2,}}"
     f"|(?<!\\b(?i:dr|prof)|\\b(?i:dr|prof)\\.|^|\u062f\\.)\\s+(?={TITLES})"
 )
+# What a field of two values or more has at least one of: a delimiter, a quote, a dash or word that separates, two
+# blanks, a title behind a blank, or numbering.
+_MAY_CUT = (
+    f"[{DELIMITERS}\"'\u201c\u00ab]|\\s(?:[-\u2013\u2014]|(?i:and)|\u0648)\\s|  |\\s{TITLES}|[0-9][.)-]\\s"
+)
 _EDGE = "^(?:[\\s\\[{\\]}\u2022\u00b7*\u2013\u2014-])+|[\\s\\[{\\]}\u2022\u00b7*\u2013\u2014-]+$"
 
 
@@ -44,11 +52,18 @@ def values_of(field: Column) -> Column:
     any letter or digit is no value. Text in parentheses is never split. A one-comma field of two single words
     without title ("Last, First") is one value.
     """
+    return let(field, _values)
+
+
+def _values(field: Column) -> Column:
     text = F.translate(field, _QUOTE + _REMARK + _CUT, "")
-    for mark, pattern, doubled, single in _QUOTED:
-        marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$1$2{_QUOTE}$3{_QUOTE}"))
-        text = F.when(F.contains(text, F.lit(mark)), marked).otherwise(text)
+    one = F.regexp_replace(text, _EDGE, "")
+    single = F.filter(F.array(one), lambda v: v.rlike("[\\p{L}\\p{N}]"))
+    swapped = F.trim(field).rlike(f"^(?!{TITLES})[^\\s{DELIMITERS}\"'()]+, (?!{TITLES})[^\\s{DELIMITERS}\"'()]+$")
+    return F.when(field.isNull(), None).when(~text.rlike(_MAY_CUT), single).when(swapped, F.array(F.trim(field))).otherwise(_split(text))
 
+
+def _split(text: Column) -> Column:
     def unquoted(piece: Column) -> Column:
         numbered = F.regexp_replace(piece, _NUMBERED, f"$1{_CUT}")
         parts = F.split(F.regexp_replace(numbered, "(\\([^()]*\\))", f"{_REMARK}$1{_REMARK}"), _REMARK)
@@ -61,11 +76,19 @@ def values_of(field: Column) -> Column:
             out = F.replace(out, F.lit(doubled), F.lit(single))
         return F.concat(F.lit(_CUT), out)
 
-    pieces = F.transform(F.split(text, _QUOTE), lambda p, i: F.when(i % 2 == 1, literal(p)).otherwise(unquoted(p)))
-    values = F.transform(F.split(F.array_join(pieces, ""), _CUT), lambda v: F.regexp_replace(v, _EDGE, ""))
-    values = F.filter(values, lambda v: v.rlike("[\\p{L}\\p{N}]"))
-    swapped = F.trim(field).rlike(f"^(?!{TITLES})[^\\s{DELIMITERS}\"'()]+, (?!{TITLES})[^\\s{DELIMITERS}\"'()]+$")
-    return F.when(swapped, F.array(F.trim(field))).otherwise(values)
+    def quotes(text: Column, kinds: Sequence[tuple]) -> Column:
+        if not kinds:
+            return pieces(text)
+        mark, pattern, _, _ = kinds[0]
+        marked = F.regexp_replace(text, F.lit(pattern), F.lit(f"$1$2{_QUOTE}$3{_QUOTE}"))
+        return let(F.when(F.contains(text, F.lit(mark)), marked).otherwise(text), lambda t: quotes(t, kinds[1:]))
+
+    def pieces(text: Column) -> Column:
+        parts = F.transform(F.split(text, _QUOTE), lambda p, i: F.when(i % 2 == 1, literal(p)).otherwise(unquoted(p)))
+        values = F.transform(F.split(F.array_join(parts, ""), _CUT), lambda v: F.regexp_replace(v, _EDGE, ""))
+        return F.filter(values, lambda v: v.rlike("[\\p{L}\\p{N}]"))
+
+    return quotes(text, _QUOTED)
 
 
 def explode_values(df: DataFrame, ids: Sequence[str], fields: Sequence[str], least: int = 2) -> DataFrame:
