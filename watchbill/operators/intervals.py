@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELL = 32 * 24 * 60  # width of a cell of time, in the unit of the intervals
+CELL = 32 * 24 * 60  # width of a cell of time: 32 days of minutes
 
 
 def merge_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,8 +29,12 @@ def merge_sorted(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     """
     if not len(group):
         return group, start, end
-    low = min(int(start.min()), 0)
+    low = int(start.min())
     width = int(end.max()) - low + 2
+    if (int(group[-1]) + 1) * width >= 1 << 63:  # too wide for one number of 64 bits: ranks instead of times
+        at = np.unique(np.concatenate([start, end]))
+        g, s, e = merge_sorted(group, np.searchsorted(at, start), np.searchsorted(at, end))
+        return g, at[s], at[e]
     key = group * width + (start - low)
     order = np.argsort(key, kind="stable")
     key, reach = key[order], (group * width + (end - low))[order]
@@ -112,7 +116,7 @@ def _merges(keys: Sequence[str]):
     return run
 
 
-def _periods(keys: Sequence[str]):
+def _periods(keys: Sequence[str], cell: int):
     """Rows with lists, sorted by (keys, _cell), to periods and gaps.
 
     Held over a batch's end, of the last key: the intervals of its last cell, which may still grow, the period that
@@ -140,7 +144,7 @@ def _periods(keys: Sequence[str]):
                 start, end = np.concatenate([held_s, start]), np.concatenate([held_e, end])
             g, s, e = merge_sorted(inner.astype(np.int64), start, end)
             last = int(group[-1])
-            cell_low = int(t["_cell"][-1].as_py()) * CELL
+            cell_low = int(t["_cell"][-1].as_py()) * cell
             hold = (g == last) & (e >= min(cell_low, int(cell_start)))
             gone = ~hold
             # the end of the period before, within a key; of the held key's first one, the end that was given out
@@ -178,10 +182,11 @@ def _emit(keys: pa.Table, g, s, e, prior, has) -> Iterator[pa.RecordBatch]:
     yield from out.to_batches()
 
 
-def cover(df: DataFrame, keys: Sequence[str], start: Column, end: Column, fan: int = 16) -> DataFrame:
+def cover(df: DataFrame, keys: Sequence[str], start: Column, end: Column, fan: int = 16, cell: int = CELL) -> DataFrame:
     """Periods and gaps of intervals per key, as (keys, kind, from_at, to_at) in the unit of start and end (bigint).
 
-    start and end are whole numbers (minutes for shifts); [start, end) must not be empty: rows whose start or end is
+    start and end are whole numbers of any unit (minutes for shifts); cell is the width of a cell in that unit: give
+    32 days' worth where it is not minutes, as an interval takes part in every cell it touches. [start, end) must not be empty: rows whose start or end is
     null or where end <= start take no part. Touching intervals join. A null in keys is a key of its own. kind is
     `period` for each longest stretch covered, `gap` for each hole between two periods of a key that follow each
     other. Repeated rows change nothing; an empty table gives no rows. Columns of df besides keys are not read, so
@@ -189,10 +194,10 @@ def cover(df: DataFrame, keys: Sequence[str], start: Column, end: Column, fan: i
     """
     keys = list(keys)
     rows = df.select(*keys, start.cast("bigint").alias("_start"), end.cast("bigint").alias("_end")).where("_start < _end")
-    cells = F.sequence(F.floor(F.col("_start") / CELL), F.floor((F.col("_end") - 1) / CELL))
-    rows = rows.select("*", F.explode(cells).alias("_cell"))
+    whole = lambda c: F.call_function("div", c - F.pmod(c, F.lit(cell)), F.lit(cell))
+    rows = rows.select("*", F.explode(F.sequence(whole(F.col("_start")), whole(F.col("_end") - 1))).alias("_cell"))
     rows = rows.withColumns({
-        "_start": F.greatest("_start", F.col("_cell") * CELL), "_end": F.least("_end", (F.col("_cell") + 1) * CELL),
+        "_start": F.greatest("_start", F.col("_cell") * cell), "_end": F.least("_end", (F.col("_cell") + 1) * cell),
     })
     key_fields = [df.select(k).schema[0] for k in keys]
     lists = T.StructType([*key_fields, T.StructField("_cell", T.LongType()), *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("_starts", "_ends"))])
@@ -201,4 +206,4 @@ def cover(df: DataFrame, keys: Sequence[str], start: Column, end: Column, fan: i
     merged = branch.mapInArrow(_merges(keys), lists)
     final = merged.repartition(*keys).sortWithinPartitions(*keys, "_cell")
     out = T.StructType([*key_fields, T.StructField("kind", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("from_at", "to_at"))])
-    return final.mapInArrow(_periods(keys), out)
+    return final.mapInArrow(_periods(keys, cell), out)

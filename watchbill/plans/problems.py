@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchbill.functions.clock import minute_text, shift_bounds
+from watchbill.functions.clock import minute_text, shift_span
 from watchbill.operators.intervals import cover
 from watchbill.operators.multivalue import explode_values
 from watchbill.operators.snapshots import instant, json_text, snapshot_changes, with_values
@@ -42,9 +42,10 @@ def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods of cover and the gaps between them per upload and role of entry."""
     role = F.lower(F.trim(F.regexp_replace("role", "[\\s\u00a0]+", " ")))
-    start, end = shift_bounds(F.col("duty_date"), F.col("starttime"), F.col("endtime"))
-    rows = table(spark, sf_dir, "entry").select("upload_id", role.alias("role"), start.alias("a"), end.alias("b"))
-    out = cover(rows.where("role <> ''"), ["upload_id", "role"], F.col("a"), F.col("b"))
+    span = shift_span(F.col("duty_date"), F.col("starttime"), F.col("endtime"))
+    # one generated row, so that filters on what is read do not read it again
+    rows = table(spark, sf_dir, "entry").where("duty_date is not null").select("upload_id", F.inline(F.array(F.struct(role.alias("role"), span.alias("at")))))
+    out = cover(rows.where("role <> ''"), ["upload_id", "role"], F.col("at.a"), F.col("at.b"))
     return out.select("upload_id", "role", "kind", *[minute_text(F.col(c)).alias(c) for c in ("from_at", "to_at")])
 
 
