@@ -214,3 +214,22 @@ def test_more_rows(spark):
     assert {tuple(r)[1:] for r in W.expand_legend(legend, ["doc"], "t").collect()} == {("AB", "Dr. Ann Bee", "0501234567"), ("CD", "Dr Cy", "0501234568")}
     assert one(spark, "Ann Bee, bee ann; annex", lambda c: W.dictionary_words(c, ["ann", "ann bee", "bee"])) == ["Ann Bee", "bee", "ann"]
     assert [one(spark, x, lambda c: W.valid_name(c, ["On Leave"])) for x in ("Ann Bee", "on leave", "12:30", "al", "", None, "مثال")] == [True, False, False, False, False, False, True]
+
+
+def test_running_start(spark):
+    from watchbill.operators import prefix
+
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, null, cast(id % 2 as string)) as k", "if(id = 7, null, id % 11) as v")
+    old = prefix.ROWS_PER_BUCKET, prefix.FAN
+    prefix.ROWS_PER_BUCKET, prefix.FAN = 40, 8
+    try:
+        got = prefix.running_start(rows.where("k is not null"), ["k"], ["id"], "v", "at", 5000).toPandas()
+    finally:
+        prefix.ROWS_PER_BUCKET, prefix.FAN = old
+    for _, g in got.groupby("k"):
+        g = g.sort_values(["at"], kind="stable")
+        g["v"] = g.v.fillna(0)
+        ends = (g["at"] + g.v).to_numpy()
+        assert g["at"].min() == 0 and ends.max() == g.v.sum()
+        full = g[g.v > 0]
+        assert (full["at"].to_numpy()[1:] == (full["at"] + full.v).to_numpy()[:-1]).all()
