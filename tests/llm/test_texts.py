@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from watchbill.llm.mixing import mix, reachable, schedule, shares
 from watchbill.llm.packing import best_fit, fills, improve, pack
 from watchbill.llm.subjects import NONE, calibrate, sentences, subject_areas, train
-from watchbill.llm.tokens import n_tokens
+from watchbill.llm.tokens import border, encoder, n_tokens
 
 
 def test_local_search_keeps_items_and_helps():
@@ -44,6 +44,17 @@ def test_pack(spark):
     assert pack(items.limit(0), kinds, "id", "tokens").count() == 0
 
 
+def test_pack_numbers_repeated_full_items_apart(spark):
+    rows = [(1, 100), (1, 100), (1, 250), (1, 250), (2, 99), (2, 99), (2, 1), (2, 1)] * 3
+    kinds = spark.createDataFrame([("k", 100)], "pack_name string, capacity_tokens int")
+    p = pack(spark.createDataFrame(rows, "id int, tokens int"), kinds, "id", "tokens").toPandas()
+    assert p.groupby("bin").tokens.sum().max() == 100 and p.tokens.sum() == sum(n for _, n in rows)
+    assert (p[p.tokens == 100].groupby("bin").size() == 1).all()
+    many = spark.range(1002).selectExpr("cast(id as string) as pack_name", "10 as capacity_tokens")
+    with pytest.raises(ValueError):
+        pack(spark.createDataFrame(rows, "id int, tokens int"), many, "id", "tokens")
+
+
 def test_schedule_stays_within_a_block():
     for blocks in ({"a": 50, "b": 30, "c": 20}, {"a": 1, "b": 99}, {"x": 7, "y": 7, "z": 7, "w": 1}, {"a": 5, "b": 0}):
         out = schedule(blocks)
@@ -80,6 +91,21 @@ def test_tokens(spark):
     assert n[:3] == [2, 0, 0] and n[3] > 1 and n[4] >= 60_000 and n[5] > 1000
 
 
+def test_long_texts_are_cut_where_the_tokenizer_cuts():
+    encoding = encoder()
+    r = random.Random(3)
+    for _ in range(40):
+        text = "".join(r.choice(["word", "a", " ", "  ", "   ", "\n", " \n ", "12", "...", "'ll", "\u0643\u062a", "\u00a0"]) for _ in range(600))
+        whole = encoding.encode_ordinary(text)
+        rest, cut = text, []
+        while len(rest) > 50:
+            at = border(rest, 50)
+            cut += encoding.encode_ordinary(rest[:at])
+            rest = rest[at:]
+        assert cut + encoding.encode_ordinary(rest) == whole
+    assert border("x" * 90, 50) == 90
+
+
 def made(n, seed):
     r = random.Random(seed)
     words = {"sport": "match goal team race coach".split(), "food": "soup menu lunch cook spice".split(), NONE: "page list copy sheet reply".split()}

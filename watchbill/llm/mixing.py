@@ -13,11 +13,11 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchbill.operators.prefix import running_start
 from watchbill.sources.tables import written
 
-BLOCKS = 200_000  # blocks of the schedule at most; their size follows from the total
+BLOCKS = 200_000  # blocks of the schedule, which the driver makes, at most; their size follows from the total
 LEAST_BLOCK = 2_048  # tokens
-ROWS_PER_BUCKET = 50_000
 
 
 def reachable(weights: dict[str, float], limits: dict[str, float], total: float) -> dict[str, float]:
@@ -64,7 +64,7 @@ def schedule(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def mix(items: DataFrame, targets: DataFrame, id: str, source: str, tokens: str, total: int | None = None) -> DataFrame:
+def mix(items: DataFrame, targets: DataFrame, id: str, source: str, tokens: str, total: int | None = None, blocks: int = BLOCKS) -> DataFrame:
     """(slot, source, id, pass_no, tokens): the mixture, in the order of slot.
 
     targets has (source, target_share, max_repeat). The mixture's size is `total` tokens, by default the size of all
@@ -72,35 +72,26 @@ def mix(items: DataFrame, targets: DataFrame, id: str, source: str, tokens: str,
     an order by hash; a source short of its share at max_repeat gives all it may and the others share what it lacks.
     Items of null or unknown source or without tokens take no part, nor do sources with a null or no positive share;
     a null max_repeat counts as 1. Shares that do not add up to 1 are scaled. No item is cut, so a source can exceed
-    its size by part of an item.
+    its size by part of an item. The schedule has at most about `blocks` blocks of LEAST_BLOCK tokens or more: the fewer
+    blocks, the coarser the steps in which sources take turns.
     """
     spark = items.sparkSession
     rows = items.where(f"`{tokens}` > 0").select(F.col(id).alias("id"), F.col(source).alias("source"), F.col(tokens).cast("bigint").alias("tokens"))
     wanted = {r["source"]: r for r in targets.where("source is not null and target_share > 0").collect()}
-    buckets = max(1, -(-rows.count() // ROWS_PER_BUCKET))
-    rows = written(rows.where(F.col("source").isin(list(wanted))).withColumn("h", F.xxhash64("id")).withColumn("bucket", F.floor((F.col("h") / 2.0**64 + 0.5) * buckets)))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
-    # starts of the buckets: a running sum over sums only, never over the rows of a source
-    size: dict[str, int] = {}
-    starts = []
-    for r in sums.orderBy("source", "bucket").collect():
-        starts.append((r["source"], r["bucket"], size.get(r["source"], 0)))
-        size[r["source"]] = size.get(r["source"], 0) + r["n"]
+    rows = written(rows.where(F.col("source").isin(list(wanted))))
+    found = rows.groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("rows")).collect()
+    size = {r["source"]: r["n"] for r in found}
     weights = {s: float(r["target_share"]) for s, r in wanted.items() if s in size}
     limits = {s: float(size[s] * (1 if wanted[s]["max_repeat"] is None else max(0, wanted[s]["max_repeat"]))) for s in weights}
     goal = reachable(weights, limits, float(total if total is not None else sum(size.values())))
     kind = items.select(id).schema[0].dataType.simpleString()
     if not size or sum(goal.values()) <= 0:
         return spark.createDataFrame([], f"slot bigint, source string, {id} {kind}, pass_no int, tokens bigint")
-    block = max(LEAST_BLOCK, math.ceil(sum(goal.values()) / BLOCKS))
+    block = max(LEAST_BLOCK, math.ceil(sum(goal.values()) / blocks))
     plan = schedule({s: math.ceil(g / block) for s, g in goal.items()})
     slots = spark.createDataFrame([(n, s, k) for n, (s, k) in enumerate(plan)], "slot bigint, source string, block bigint")
-    begin = spark.createDataFrame(starts, "source string, bucket bigint, start bigint")
     sizes = spark.createDataFrame([(s, size[s], int(round(goal[s]))) for s in weights], "source string, size bigint, goal bigint")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("source", "bucket").orderBy("h", "id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    at = rows.join(begin, ["source", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
+    at = running_start(rows, ["source"], ["id", "tokens"], "tokens", "at", sum(r["rows"] for r in found))
     at = at.join(F.broadcast(sizes), "source").where("at < goal")
     passes = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("goal") - 1 - F.col("at")) / F.col("size")))
     out = at.withColumn("pass", F.explode(passes)).withColumn("block", F.floor((F.col("pass") * F.col("size") + F.col("at")) / block))
