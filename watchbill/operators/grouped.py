@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 
-def stream_groups(df: DataFrame, keys: Sequence[str], each: Callable, schema: StructType | str, order: Sequence[str] = ()) -> DataFrame:
+def stream_groups(df: DataFrame, keys: Sequence[str], each: Callable, schema: StructType | str, order: Sequence[str] = (), parts: int | None = None) -> DataFrame:
     """each(key tuple, list of row dicts) -> iterable of row dicts, called for every group of keys.
 
     One shuffle and sort; unlike a grouped Pandas function it builds no frame per group, so millions of small groups
-    are cheap. A group is held whole: callers bound its size. Nulls in keys form groups of their own.
+    are cheap. A group is held whole: callers bound its size. Nulls in keys form groups of their own. parts: number of
+    partitions, for work that outweighs its input; else Spark chooses.
     """
     keys = list(keys)
     out = df.sparkSession.createDataFrame([], schema).schema
@@ -46,4 +47,5 @@ def stream_groups(df: DataFrame, keys: Sequence[str], each: Callable, schema: St
         if ready:
             yield flush()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, out)
+    placed = df.repartition(*keys) if parts is None else df.repartition(parts, *keys)
+    return placed.sortWithinPartitions(*keys, *order).mapInArrow(run, out)

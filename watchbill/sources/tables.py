@@ -35,11 +35,7 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in at least two partitions per core, for Python work that costs far more than moving its input.
-
-    A scan of few files would otherwise keep a few cores busy. Input that has as many partitions already, as large
-    tables do, is not moved.
-    """
-    least = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
+def busy_parts(spark: SparkSession) -> int:
+    """Partitions that keep all cores busy with Python work that costs far more than moving its input, whatever AQE makes
+    of its size."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
