@@ -37,6 +37,8 @@ APOSTROPHES = "‘’ʼʹ′＇"
 # Letters of Persian and Urdu drawn like an Arabic one before a letter they join, or only elsewhere.
 JOINED = {"\u06cc": "\u064a", "\u06a9": "\u0643", "\u06be": "\u0647"}
 UNJOINED = {"\u06cc": "\u0649", "\u06c1": "\u0647", "\u06d5": "\u0647"}
+# Kinds of compatible characters that look different from the plain ones: x² is not x2, nor ① 1.
+UNLIKE = ("<super>", "<sub>", "<circle>", "<fraction>", "<square>", "<vertical>")
 INVISIBLE = "\u180e\u200b\ufeff\u2060\u00ad\u034f\u115f\u1160\u3164"
 
 _ARABIC = "\u0620\u0622-\u064a\u066e-\u0673\u0675-\u06d3\u06d5\u06ee\u06ef\u06fa-\u06ff\ufb50-\ufdff\ufe70-\ufefc"
@@ -97,7 +99,7 @@ def lookalike_classes(alphabet: Sequence[str]) -> list[list[str]]:
         elif c in APOSTROPHES:
             classes.join(c, "'")
         else:
-            other = unicodedata.normalize("NFKD", c)
+            other = c if unicodedata.decomposition(c).startswith(UNLIKE) else unicodedata.normalize("NFKD", c)
             # spacing accents decompose into a blank and an accent: no letter looks like that
             if other != c and not other.startswith(" "):
                 classes.join(c, other)
@@ -108,11 +110,22 @@ def representatives(classes: list[list[str]], counts: dict[str, int]) -> dict[st
     """Member to representative: the member most frequent in the texts, the ASCII and then the smaller one on ties.
 
     The class of the empty string is represented by it, one with a letter that looks different by its place by that.
+    A representative holds no member of another class (a ligature of full-width letters is written with plain ones), so
+    that rewriting does not make texts longer and longer; one that cannot be settled so raises an error.
     """
     out = {}
     for members in classes:
         best = "" if "" in members else min(members, key=lambda m: (m not in JOINED and m not in UNJOINED, -counts.get(m, 0), not m.isascii(), len(m), m))
         out |= {m: best for m in members if m != best}
+    for m, best in out.items():
+        for _ in range(len(out) + 1):
+            settled = "".join(out.get(c, c) for c in best)
+            if settled == best:
+                break
+            best = settled
+            if len(best) > 64:
+                raise ValueError(f"the look-alike class of {m!r} is written with itself")
+        out[m] = best
     return out
 
 
@@ -129,26 +142,31 @@ class Rewriter:
             if member:
                 self.automaton.add_word(member, (len(member), best))
         self.any = len(self.automaton) > 0
+        # most texts are plain and hold nothing that is rewritten
+        self.plain = not any(m.isascii() for m in table if m)
         if self.any:
             self.automaton.make_automaton()
 
     def __call__(self, text: str | None) -> str | None:
-        if not text:
+        if not text or self.plain and text.isascii():
             return text
-        if not self.any:
-            return unicodedata.normalize("NFC", by_position(unicodedata.normalize("NFD", text)))
         text = unicodedata.normalize("NFD", text)
-        for _ in range(8):
-            out, at = [], 0
-            for end, (length, best) in self.automaton.iter_long(text):
-                out += (text[at : end + 1 - length], best)
-                at = end + 1
-            new = by_position(unicodedata.normalize("NFD", "".join(out) + text[at:]))
-            if new == text:
-                break
-            text = new
+        # ends: no step makes a text longer than its letters' longest forms, so at last one comes again; of texts that
+        # come in turns the smallest is the form, whichever of them was typed
+        seen: dict[str, int] = {}
+        while text not in seen:
+            seen[text] = len(seen)
+            text = self.step(text)
+        text = min(t for t, n in seen.items() if n >= seen[text])
         return unicodedata.normalize("NFC", text)
 
+    def step(self, text: str) -> str:
+        out, at = [], 0
+        for end, (length, best) in self.automaton.iter_long(text) if self.any else ():
+            out += (text[at : end + 1 - length], best)
+            at = end + 1
+        return by_position(unicodedata.normalize("NFD", "".join(out) + text[at:]) if out else text)
+
 
 def learn(columns: Sequence[tuple[DataFrame, str]]) -> dict[str, str]:
     """The rewriting table of all texts in the given columns.
@@ -180,8 +198,11 @@ def one_form(text: Column, table: dict[str, str]) -> Column:
     @F.pandas_udf("string")
     def rewrite(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         change = Rewriter(table)
+        known: dict[str, str] = {}
         for s in parts:
-            known = {t: change(t) for t in s.dropna().unique()}
+            if len(known) > 200_000:
+                known.clear()
+            known |= {t: change(t) for t in s.dropna().unique() if t not in known}
             yield s.map(known).astype("object").where(s.notna(), None)
 
     return rewrite(text)
