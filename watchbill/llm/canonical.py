@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchbill.llm.names import distance, memo, nickname, phone_digits, tokens
+from watchbill.llm.names import distance, least_assignment, memo, nickname, phone_digits, tokens
+from watchbill.sources.tables import busy_parts, written
 
 BLOCK = 20_000  # entries of the list in one dictionary; a longer list is looked up block by block
 
 # Letters that stand for each other when a name is spelled by ear.
-_ALIKE = [frozenset(x) for x in ("kqc", "wv", "vf", "sz", "ou", "ei", "iy", "ey", "bp", "gj", "dt", "uw", "ae")]
+_ALIKE = frozenset((x, y) for k in ("kqc", "wv", "vf", "sz", "ou", "ei", "iy", "ey", "bp", "gj", "dt", "uw", "ae") for x in k for y in k)
 
 
 @memo
@@ -35,7 +36,7 @@ def weighted(a: str, b: str) -> float:
         drop = 0.3 if i and a[i - 1] == x else 1
         row = [last[0] + drop]
         for j, y in enumerate(b):
-            d = last[j] + (0 if x == y else 0.4 if any(x in k and y in k for k in _ALIKE) else 1)
+            d = last[j] + (0 if x == y else 0.4 if (x, y) in _ALIKE else 1)
             d = min(d, last[j + 1] + drop, row[j] + (0.3 if j and b[j - 1] == y else 1))
             if before is not None and i and j and x == b[j - 1] and a[i - 1] == y:
                 d = min(d, before[j - 1] + 0.7)
@@ -73,41 +74,6 @@ def word_cost(q: tuple[str, str, bool], r: tuple[str, str, bool]) -> float:
     return cost if cost <= min(2.4, 0.5 * len(r[0])) else float("inf")
 
 
-def least_assignment(costs: list[list[float]]) -> float | None:
-    """Least sum of one place in each row, all of different columns (rows <= columns); None if each sum is infinite.
-
-    Shortest augmenting paths with potentials, rows x rows x columns steps.
-    """
-    n, m, far = len(costs), len(costs[0]), 1e6
-    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        row_of[0], at = i, 0
-        least, came, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
-        while row_of[at]:
-            done[at] = True
-            r, delta, following = row_of[at], float("inf"), 0
-            for j in range(1, m + 1):
-                if done[j]:
-                    continue
-                c = min(costs[r - 1][j - 1], far) - u[r] - v[j]
-                if c < least[j]:
-                    least[j], came[j] = c, at
-                if least[j] < delta:
-                    delta, following = least[j], j
-            for j in range(m + 1):
-                if done[j]:
-                    u[row_of[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
-            at = following
-        while at:
-            row_of[at] = row_of[came[at]]
-            at = came[at]
-    total = sum(costs[row_of[j] - 1][j - 1] for j in range(1, m + 1) if row_of[j])
-    return total if total < float("inf") else None
-
-
 def name_cost(typed: list, known: list) -> float | None:
     """Least cost over the orders in which the typed words can be read as the known ones; None if they do not fit.
 
@@ -130,12 +96,11 @@ def name_cost(typed: list, known: list) -> float | None:
     return best + (0.3 * (len(typed) - len(known)) if len(typed) > len(known) else 2.2 * (len(known) - len(typed)))
 
 
-def phone_level(typed: tuple[str, str], known: str) -> int:
-    """3 the number, 2 one slip away from it, 1 its end or beginning, 0 nothing known, -1 another number."""
+def phone_level(typed: tuple[str, str], known: str, slips: frozenset[str] = frozenset()) -> int:
+    """3 the number, 2 one slip away from it (one of `slips`), 1 its end or beginning, 0 nothing known, -1 another number."""
     whole, part = typed
     if whole:
-        d = distance(whole, known, 1)
-        return 3 if d == 0 else 2 if d == 1 else -1
+        return 3 if whole == known else 2 if known in slips else -1
     if part.endswith("-"):
         return 1 if known.startswith(part[:-1]) else -1
     return 0 if not part else 1 if known.endswith(part) else -1
@@ -146,7 +111,7 @@ class SymmetricDelete:
 
     def __init__(self, rows: list[tuple[int, str, str, int]]):
         self.rows = {i: (tokens(name), phone_digits(phone)[0], uses) for i, name, phone, uses in rows}
-        self.words, self.phones, self.ends = defaultdict(set), defaultdict(set), defaultdict(set)
+        self.words, self.phones, self.ends, self.numbers = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
         self.holders = defaultdict(set)
         self.near = memo(self.near)
         for i, (words, phone, _) in self.rows.items():
@@ -156,6 +121,7 @@ class SymmetricDelete:
                 for d in deletes(phone, 1):
                     self.phones[d].add(i)
                 self.ends[phone[-4:]].add(i)
+                self.numbers[phone].add(i)
         for word in self.holders:
             for d in deletes(word, _reach(word)):
                 self.words[d].add(word)
@@ -165,10 +131,17 @@ class SymmetricDelete:
         found = {w for d in deletes(word, _reach(word)) for w in self.words.get(d, ())}
         return frozenset(i for w in found if distance(word, w, 2) <= 2 for i in self.holders[w])
 
-    def candidates(self, words: list, phone: tuple[str, str]) -> set[int]:
+    def slips(self, whole: str) -> frozenset[str]:
+        """Numbers of the list that are one edit away from a whole number."""
+        if not whole:
+            return frozenset()
+        found = {self.rows[i][1] for d in deletes(whole, 1) for i in self.phones.get(d, ())}
+        return frozenset(n for n in found if distance(whole, n, 1) == 1)
+
+    def candidates(self, words: list, phone: tuple[str, str], slips: frozenset[str] = frozenset()) -> set[int]:
         out = {i for w in words if len(w[0]) > 1 for i in self.near(w[1])}
         if phone[0]:
-            out |= {i for d in deletes(phone[0], 1) for i in self.phones.get(d, ())}
+            out |= {i for n in (*slips, phone[0]) for i in self.numbers.get(n, ())}
         elif len(phone[1]) == 4:
             out |= self.ends.get(phone[1], set())
         return out
@@ -178,10 +151,14 @@ class SymmetricDelete:
         words, digits = [w for w in tokens(name) if w[0] not in NO_NAME], phone_digits(phone)
         person = sum(len(w[0]) > 1 and not w[2] for w in words) >= 2
         scored = []
-        for i in self.candidates(words, digits):
+        slips = self.slips(digits[0])
+        for i in self.candidates(words, digits, slips):
             known, number, uses = self.rows[i]
-            cost, level = name_cost(words, known), phone_level(digits, number) if number else 0
-            score = (0 if cost is None else max(0.0, 6 - 2 * cost)) + (5, 4, 3, 0, -5)[3 - level]
+            level = phone_level(digits, number, slips) if number else 0
+            if level < 0 and 6 + LEVELS[level] < ACCEPT:
+                continue
+            cost = name_cost(words, known)
+            score = (0 if cost is None else max(0.0, 6 - 2 * cost)) + LEVELS[level]
             if cost is None and (level < 3 or person):
                 continue
             scored.append((score, uses, -i))
@@ -193,13 +170,18 @@ class SymmetricDelete:
 
 # Least score: two words that both fit at a cost of two letters, or a known number.
 ACCEPT = 1.95
+# Points of what is typed of a phone, by phone_level.
+LEVELS = {3: 5, 2: 4, 1: 3, 0: 0, -1: -5}
 # Words typed in place of a name.
 NO_NAME = frozenset("duty phone consultant resident on leave cover coverage call no note vacant tba team holiday".split())
 
 
 def _lookup(dictionary, name: str, phone: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = SymmetricDelete(dictionary.value)
+        # kept with the broadcast, which a worker holds for all its tasks
+        table = vars(dictionary).get("_wb_table")
+        if table is None:
+            table = dictionary._wb_table = SymmetricDelete(dictionary.value)
         for f in frames:
             found = [table.best(n, p) for n, p in zip(f[name], f[phone])]
             yield f[[name, phone]].assign(best_id=[i for i, _ in found], score=[float(s) for _, s in found])
@@ -219,14 +201,13 @@ def map_to_list(df: DataFrame, name: str, phone: str, reference: DataFrame, uses
     spark = df.sparkSession
     pairs = df.select(F.col(name).alias("_wb_name"), F.col(phone).alias("_wb_phone")).distinct()
     # looking up costs far more than moving the pairs, which are small: keep all cores busy
-    pairs = pairs.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = pairs.repartition(busy_parts(spark))
     known = reference.select(F.col("id").cast("bigint"), F.col("name"), F.col("phone"), (uses if uses is not None else F.lit(0)).cast("bigint").alias("uses"))
+    known = written(known.withColumn("_wb_hash", F.xxhash64("id")))
     blocks = -(-known.count() // BLOCK)
-    if blocks > 1:
-        known = known.withColumn("_wb_block", F.pmod(F.xxhash64("id"), F.lit(blocks))).persist()
     looked = None
     for b in range(blocks):
-        rows = known.where(F.col("_wb_block") == b).drop("_wb_block") if blocks > 1 else known
+        rows = known.where(F.pmod("_wb_hash", F.lit(blocks)) == b).drop("_wb_hash")
         held = spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])
         one = pairs.mapInPandas(_lookup(held, "_wb_name", "_wb_phone"), "_wb_name string, _wb_phone string, best_id bigint, score double")
         looked = one if looked is None else looked.unionByName(one)

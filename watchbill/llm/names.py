@@ -89,6 +89,19 @@ def tokens(text: str | None) -> list[tuple[str, str, bool]]:
     return out
 
 
+_EXTENSION = re.compile(r"(?i)\b(?:ext|x)\.?\s*\d+")
+_NUMBER = re.compile(r"(?<![\d:/.+-])\d{1,3}(?![\d:/-]|\.\d)")
+
+
+def numbers(text: str | None) -> str:
+    """The numbers of up to three digits in a typed name, sorted: they tell units apart (ward 3, ward 7).
+
+    Extensions, phones, dates, clock times and remarks in parentheses are no part of a name.
+    """
+    t = plain(_REMARK.sub(" ", text or "").translate(_DIGITS))
+    return " ".join(sorted((str(int(n)) for n in _NUMBER.findall(_EXTENSION.sub(" ", t))), key=lambda n: (len(n), n)))
+
+
 _DIGITS = {ord(c): str(i % 10) for i, c in enumerate("٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹")}
 
 
@@ -129,11 +142,26 @@ def distance(a: str, b: str, limit: int) -> int:
     n, m = len(a), len(b)
     if abs(n - m) > limit:
         return limit + 1
+    # letters alike at both ends cost nothing
+    low, most = 0, min(n, m)
+    while low < most and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < most - low and a[n - 1 - high] == b[m - 1 - high]:
+        high += 1
+    a, b = a[low : n - high], b[low : m - high]
+    n, m = len(a), len(b)
+    if not n or not m:
+        return n or m
+    if limit == 1:
+        return 1 if n == m == 1 or n == m == 2 and a[0] == b[1] and a[1] == b[0] else 2
+    far = limit + 1
     before, last = None, list(range(m + 1))
     for i in range(1, n + 1):
-        row = [i] + [0] * m
+        row = [far] * (m + 1)
+        row[0] = least = i
         x = a[i - 1]
-        for j in range(1, m + 1):
+        for j in range(max(1, i - limit), min(m, i + limit) + 1):
             y = b[j - 1]
             d = last[j - 1] + (x != y)
             if last[j] + 1 < d:
@@ -143,10 +171,12 @@ def distance(a: str, b: str, limit: int) -> int:
             if before is not None and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < d:
                 d = before[j - 2] + 1
             row[j] = d
-        if min(row) > limit:
-            return limit + 1
+            if d < least:
+                least = d
+        if least > limit:
+            return far
         before, last = last, row
-    return min(last[m], limit + 1)
+    return min(last[m], far)
 
 
 def nickname(short: str, long: str) -> bool:
@@ -157,3 +187,49 @@ def nickname(short: str, long: str) -> bool:
     while n < len(short) and short[n] == long[n]:
         n += 1
     return n >= 3 and len(short) - n <= 2 and all(c in "aeiouy" for c in short[n:])
+
+
+def assignment(costs: list[list[float]]) -> tuple[float, list[int]] | None:
+    """(least sum of one place in each row, all of different columns; the column of each row); None if every sum is
+    infinite. There are at least as many columns as rows.
+
+    Shortest augmenting paths with potentials, rows x rows x columns steps.
+    """
+    n, m, far = len(costs), len(costs[0]), 1e6
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], at = i, 0
+        least, came, done = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[at]:
+            done[at] = True
+            r, delta, following = row_of[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if done[j]:
+                    continue
+                c = min(costs[r - 1][j - 1], far) - u[r] - v[j]
+                if c < least[j]:
+                    least[j], came[j] = c, at
+                if least[j] < delta:
+                    delta, following = least[j], j
+            for j in range(m + 1):
+                if done[j]:
+                    u[row_of[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            at = following
+        while at:
+            row_of[at] = row_of[came[at]]
+            at = came[at]
+    places = [0] * n
+    for j in range(1, m + 1):
+        if row_of[j]:
+            places[row_of[j] - 1] = j - 1
+    total = sum(costs[i][j] for i, j in enumerate(places))
+    return (total, places) if total < float("inf") else None
+
+
+def least_assignment(costs: list[list[float]]) -> float | None:
+    """The sum alone."""
+    out = assignment(costs)
+    return out[0] if out else None
