@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from watchbill.llm.mixing import mix, reachable, schedule, shares
 from watchbill.llm.packing import best_fit, fills, improve, pack
-from watchbill.llm.subjects import NONE, calibrate, sentences, subject_areas, train
+from watchbill.llm.subjects import FOLDS, NONE, SHARPNESS, Models, calibrate, corpus, held_out, sentences, subject_areas, train
 from watchbill.llm.tokens import border, encoder, n_tokens
 
 
@@ -125,17 +126,58 @@ def test_models_on_held_out_documents():
     docs, labels = made(120, 1)
     parts = [sentences(d) for d in docs]
     classes = ["food", "sport", NONE]
-    m = train(parts[:90], labels[:90], classes, None)
-    limits = calibrate(parts[:90], labels[:90], classes, None)
-    share = m.shares(parts[90:])
+    marks = np.array([[c in x for c in classes] for x in labels])
+    m = Models(classes)
+    m.index(parts[:90])
+    whole = corpus(m, parts)
+    m.set_background(*m.occurrences(whole))
+    known = whole.of(np.arange(120) < 90)
+    shares = [np.zeros((90, 3)) for _ in SHARPNESS]
+    for f in range(FOLDS):
+        orders, held = held_out(f, m, known, marks[:90])
+        assert abs(orders.sum() - 1) < 1e-9 and (orders > 0).all()
+        for all_, x in zip(shares, held):
+            all_[f::FOLDS] = x
+    sharpness, limits = calibrate(shares, marks[:90], classes)
+    share = train(m, known, marks[:90]).shares(whole.of(np.arange(120) >= 90), sharpness)
     got = [{classes[c] for c in range(2) if s[c] >= limits[c]} for s in share]
     right = sum(g == x - {NONE} for g, x in zip(got, labels[90:]))
     assert right >= 28
 
 
+def test_models_are_distributions_and_orders_grow_likelier():
+    docs, labels = made(60, 4)
+    parts = [sentences(d) for d in docs]
+    classes = ["food", "sport", NONE]
+    m = Models(classes)
+    m.index(parts)
+    whole = corpus(m, parts)
+    m.set_background(*m.occurrences(whole))
+    train(m, whole, np.array([[c in x for c in classes] for x in labels]))
+    # every word, and the unknown one, after one and the same two words
+    v = len(m.words)
+    ids = np.array([x for w in [*range(v), v + 1] for x in (m.words["the"], m.words["goal"], w)], np.int32)
+    parts_, back = m.parts(m.encode(ids, np.arange(0, len(ids), 3)))
+    for p in parts_[:3]:
+        assert np.allclose(p[2::3].sum(0), 1, atol=1e-6)
+    assert abs(back[2::3].sum() - 1) < 1e-6
+    tokens, starts = m.encode(whole.ids, whole.starts), whole.starts
+    weight = np.full((len(starts), 3), 1 / 3)
+    of_token = np.repeat(weight, whole.lengths(), axis=0)
+    likely = []
+    for _ in range(5):
+        mixed, _ = m.parts(tokens)
+        likely.append((of_token * np.log(sum(o * p for o, p in zip(m.orders, mixed)))).sum())
+        m.fit_orders(tokens, starts, weight, 1)
+    assert all(y >= x - 1e-6 for x, y in zip(likely, likely[1:])) and likely[-1] > likely[0]
+    single = Models(classes)
+    vars(single).update(vars(m))
+    assert np.allclose(single.gains(tokens, starts), np.concatenate([single.gains(m.encode(whole.ids[a:b], np.array([0])), np.array([0])) for a, b in zip(starts, np.append(starts[1:], len(whole.ids)))]))
+
+
 def test_sentences():
     assert sentences("Dr. A sees ward no. 4 at 10:30. Next <b>line</b>?\nEnd") == [["dr", "a", "sees", "ward", "no", "0", "at", "0", "0"], ["next", "line"], ["end"]]
-    assert sentences("...") == []
+    assert sentences("...") == [] and [len(x) for x in sentences("a " * 1200)] == [500, 500, 200]
 
 
 def test_subject_areas(spark):
