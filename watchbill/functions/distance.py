@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +67,72 @@ def name_rule(target: Column, candidate: Column, least: int = 3) -> Column:
     best = F.transform(words, lambda t: F.array_min(F.transform(candidate, lambda c: F.coalesce(token_rule(t, c), F.lit(9)))))
     worst = F.array_max(best)
     return F.when((F.size(words) > 0) & (worst < 9), worst)
+
+
+def edits(a: str, b: str, limit: int) -> int:
+    """The same distance of two strings in Python, limit + 1 if larger: for Arrow batches of many pairs."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > limit:
+        return limit + 1
+    low, most = 0, min(len(a), len(b))
+    while low < most and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < most - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
+    far = limit + 1
+    above, line = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i] + [far] * len(b)
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            d = min(line[j - 1] + (x != b[j - 1]), line[j] + 1, new[j - 1] + 1)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                d = min(d, above[j - 2] + 1)
+            new[j] = d
+        if min(new) > limit:
+            return far
+        above, line = line, new
+    return min(line[-1], far)
+
+
+def _word_rule(t: str, c: str) -> int:
+    if t == c:
+        return 1
+    short = min(len(t), len(c))
+    if short >= 3 and (t.startswith(c) or c.startswith(t)):
+        return 2
+    d = edits(t, c, 2) if short >= 4 else 9
+    return 3 if d <= 1 else 4 if d == 2 and short >= 6 else 9
+
+
+def _rule(target: Sequence[str], candidate: Sequence[str], least: int, known: dict) -> int | None:
+    worst = 0
+    for t in target:
+        if len(t) < least:
+            continue
+        best = 9
+        for c in candidate:
+            pair = t, c
+            if pair not in known:
+                if len(known) > 1_000_000:
+                    known.clear()
+                known[pair] = _word_rule(t, c)
+            best = min(best, known[pair])
+        if best == 9:
+            return None
+        worst = max(worst, best)
+    return worst or None
+
+
+def name_rules(target: Column, candidate: Column, least: int = 3) -> Column:
+    """name_rule in Arrow batches: each two words are compared once a task, which many pairs of names gain from."""
+
+    @F.pandas_udf("int")
+    def rule(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known: dict = {}
+        for a, b in parts:
+            yield pd.Series([None if x is None or y is None else _rule(x, y, least, known) for x, y in zip(a, b)], dtype="Int32")
+
+    return rule(target, candidate)

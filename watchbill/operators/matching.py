@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchbill.functions.distance import name_rule, osa
+from watchbill.functions.distance import name_rules, osa
 from watchbill.functions.text import canonical_name
+from watchbill.sources.tables import busy_parts
 
 
 def later_wins(contacts: DataFrame, key: Column, value: str, order: str) -> DataFrame:
@@ -62,10 +63,10 @@ def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: Da
     a = names.where(F.exists("_t", lambda w: F.length(w) >= 3)).withColumn("_g", F.explode(_keys(F.array(longest))))
     b = right.withColumn("_g", F.explode(_keys(F.col("_c"))))
     spark = df.sparkSession
-    cores = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = busy_parts(spark)
     # comparing words costs more than the few bytes of a pair suggest: keep AQE from putting all pairs in one task
     pairs = a.join(b, [*block, "_g"]).select(*block, "_t", "_c", "_phone").distinct().repartition(cores)
-    ruled = pairs.withColumn("rule", name_rule(F.col("_t"), F.col("_c"))).where("rule is not null")
+    ruled = pairs.withColumn("rule", name_rules(F.col("_t"), F.col("_c"))).where("rule is not null")
     # rungs in order: the rules, the rules narrowed by an initial, initial and last word
     letter = F.try_element_at(F.filter("_t", lambda w: F.length(w) == 1), F.lit(1))
     lasts = right.where(F.size("_c") >= 2).select(*block, "_phone", F.element_at("_c", -1).alias("_last")).distinct()
@@ -154,10 +155,15 @@ def interval_join(df: DataFrame, at: str, keys: Sequence[str], shifts: DataFrame
     spread = shifts.where(F.col(start) < F.col(end)).select(
         *keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(order).alias("_o"), F.col(value).alias("_v"),
         F.explode(F.sequence(F.floor(F.col(start) / cell), F.floor((F.col(end) - 1) / cell))).alias("_cell"))
-    rows = df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", F.floor(F.col(at) / cell))
-    hits = rows.join(spread, [*keys, "_cell"], "left").withColumn("_in", (F.col(at) >= F.col("_s")) & (F.col(at) < F.col("_e")))
-    best = hits.groupBy("_row").agg(*[F.first(c).alias(c) for c in df.columns], F.min_by(F.when(F.col("_in"), F.col("_v")), F.when(F.col("_in"), F.col("_o"))).alias(value))
-    return best.drop("_row")
+    # the distinct instants of a key are looked up, not rows: nothing has to tell rows apart, and hot instants meet once
+    asked = df.select(*keys, F.col(at).alias("_at")).distinct().withColumn("_cell", F.floor(F.col("_at") / cell))
+    hits = asked.join(spread, [*keys, "_cell"]).where((F.col("_at") >= F.col("_s")) & (F.col("_at") < F.col("_e")))
+    best = hits.groupBy(*keys, "_at").agg(F.min_by("_v", "_o").alias(value))
+    renamed = best.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.col(at) == F.col("_at")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    return df.join(renamed, same, "left").select(*df.columns, value)
 
 
 def missing(required: DataFrame, present: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -254,3 +254,138 @@ def valid_name(name: Column, never: Sequence[str] = ()) -> Column:
     t = F.lower(F.trim(name))
     fine = F.length(t).between(3, 80) & t.rlike("\\p{L}") & ~t.rlike("^[0-9/.: -]+$|^[0-9]{1,2}[:/][0-9]{2}")
     return F.coalesce(fine & ~t.isin([w.lower() for w in never]) if never else fine, F.lit(False))
+
+
+# Texts of header cells that a reading repeats as data.
+LABELS = ("date", "day", "name", "consultant", "resident", "residents", "fellow", "on-call", "on call", "shift", "section")
+
+
+def columns_or_fallback(cells: DataFrame, keys: Sequence[str], patterns: dict[str, str], least: int, fallback: dict[str, int], date_pattern: str, date_col: int) -> DataFrame:
+    """(keys..., name, col) of each table: its header's columns, or, where no row has `least` header patterns, the fallback
+    columns moved by as much as the table's first date cell is away from `date_col`.
+
+    Names that a header lacks stay missing. Tables without header and date keep the fallback as it is.
+    """
+    keys = list(keys)
+    named = detect_header(cells, keys, patterns, least).select(*keys, "name", "col")
+    bare = cells.select(*keys).distinct().join(named.select(*keys).distinct(), keys, "left_anti")
+    date = cells.where(F.col("text").rlike(date_pattern)).groupBy(*keys).agg((F.min_by("col", F.struct("row", "col")) - date_col).alias("_move"))
+    listed = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(c).alias("col")) for n, c in fallback.items()])
+    fixed = bare.join(date, keys, "left").select(*keys, F.coalesce("_move", F.lit(0)).alias("_move"), F.explode(listed).alias("_f"))
+    return named.unionByName(fixed.select(*keys, "_f.name", (F.col("_f.col") + F.col("_move")).alias("col")))
+
+
+def cells_to_rows(cells: DataFrame, keys: Sequence[str], columns: DataFrame, names: Sequence[str], date_pattern: str, labels: Sequence[str] = LABELS) -> DataFrame:
+    """(keys..., row, date, names...): rows with a date cell, by the columns of their table.
+
+    Repeated header labels count as empty, line ends as blanks; rows without any value are left out.
+    """
+    keys = list(keys)
+    text = F.trim(F.regexp_replace("text", "\\s*\\n\\s*", " "))
+    clean = cells.withColumn("text", F.when(F.lower(text).isin(list(labels)), "").otherwise(text))
+    dates = clean.where(F.col("text").rlike(date_pattern)).groupBy(*keys, "row").agg(F.min_by("text", "col").alias("date"))
+    placed = clean.join(columns, [*keys, "col"]).where("text <> ''")
+    wide = placed.groupBy(*keys, "row").agg(*[F.min_by(F.when(F.col("name") == n, F.col("text")), F.when(F.col("name") == n, F.col("col"))).alias(n) for n in names])
+    some = None
+    for n in names:
+        some = F.col(n).isNotNull() if some is None else some | F.col(n).isNotNull()
+    return dates.join(wide, [*keys, "row"]).where(some).select(*keys, "row", "date", *names)
+
+
+def first_map(*maps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of several column maps (keys, name, col) of a table the first that has any: header, non-empty cells, fixed ones."""
+    out = maps[0]
+    for m in maps[1:]:
+        out = out.unionByName(m.join(out.select(*keys).distinct(), list(keys), "left_anti"))
+    return out
+
+
+def filled_columns(cells: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(keys..., name, col): names in order for the first non-empty cells of a table's first row that has as many."""
+    filled = cells.where(F.trim("text") != "")
+    w = Window.partitionBy(*keys, "row").orderBy("col")
+    ranked = filled.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= len(names))
+    full = ranked.groupBy(*keys, "row").agg(F.max("_n").alias("_n")).where(F.col("_n") == len(names)).groupBy(*keys).agg(F.min("row").alias("row"))
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_n"))
+    return ranked.join(full, [*keys, "row"]).select(*keys, name.alias("name"), "col")
+
+
+def half_of_day(text: Column) -> Column:
+    """AM or PM named in a date cell, null if neither."""
+    return F.nullif(F.upper(F.regexp_extract(text, "(?i)\\b(am|pm)\\b", 1)), F.lit(""))
+
+
+def day_name(text: Column) -> Column:
+    """A weekday by its first three letters, null where a cell is none."""
+    hit = F.regexp_extract(F.trim(text), "^(?i)(sun|mon|tue|wed|thu|fri|sat)(?:[a-z]*day)?$", 1)
+    return F.nullif(F.initcap(F.lower(hit)), F.lit(""))
+
+
+def compacted(text: Column) -> Column:
+    """Text with glued words apart, dates at the start of a line, and mobile numbers set off by blanks."""
+    t = F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")
+    t = F.regexp_replace(t, "[ \\t]+([0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4})", "\n$1")
+    return F.trim(F.regexp_replace(t, " *(05[0-9]{8}) *", " $1 "))
+
+
+def name_near_phone(line: Column) -> Column:
+    """The name on a line with a phone: without numbers, dates and words of roles, from its title on, up to two blanks;
+    null if nothing is left."""
+    t = F.regexp_replace(line, "(?:\\+?966|0)?5[0-9]{8}|[0-9]{1,2}/[0-9]{1,2}(?:/[0-9]{2,4})?", "")
+    t = F.regexp_replace(t, "(?i)\\b(?:1st|2nd|3rd|on-call|on call|consultant|resident|fellow|senior|junior|ext)\\b\\.?", "")
+    titled = F.regexp_extract(t, "(?i)(\\bdr\\b.*)", 1)
+    t = F.trim(F.when(titled != "", titled).otherwise(t))
+    return F.nullif(F.trim(F.regexp_replace(F.element_at(F.split(t, "\\s{2,}"), 1), "[^\\p{L}.)]+$", "")), F.lit(""))
+
+
+def from_right(tokens: Column, names: Sequence[str], skip: int = 1) -> Column:
+    """Struct of the words of a line counted from its right end, `skip` last ones ignored: the last name first."""
+    return F.struct(*[F.try_element_at(tokens, F.lit(-1 - skip - i)).alias(n) for i, n in enumerate(names)])
+
+
+def blocks_of(lines: DataFrame, keys: Sequence[str], order: str, starts: Column, size: int) -> DataFrame:
+    """Lines (keys..., block, place) that follow a header line, of blocks that have exactly `size` lines."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    head = F.coalesce(starts, F.lit(False))
+    numbered = lines.withColumns({"_h": head, "block": F.sum(head.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))}).where("block > 0 and not _h").drop("_h")
+    placed = numbered.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "block").orderBy(order)))
+    full = placed.groupBy(*keys, "block").agg(F.max("place").alias("_n")).where(F.col("_n") == size).drop("_n")
+    return placed.join(full, [*keys, "block"], "left_semi")
+
+
+def template_hits(text: Column, markers: Sequence[str]) -> Column:
+    """How many of a template's markers a text has."""
+    return sum((F.coalesce(text.rlike(m).cast("int"), F.lit(0)) for m in markers), F.lit(0))
+
+
+def parse_by(df: DataFrame, parsers: dict[str, tuple[Column, object]], fallback: object) -> DataFrame:
+    """Rows of the parser (condition, DataFrame -> DataFrame) of each document, by the first condition that holds, with its
+    name as `parser_mode`; documents that fit none go to `fallback` as `generic`. Parsers return equal columns."""
+    out, left = None, F.lit(True)
+    for name, (condition, parse) in parsers.items():
+        fits = F.coalesce(condition, F.lit(False))
+        one = parse(df.where(left & fits)).withColumn("parser_mode", F.lit(name))
+        out, left = one if out is None else out.unionByName(one), left & ~fits
+    rest = fallback(df.where(left)).withColumn("parser_mode", F.lit("generic"))
+    return rest if out is None else out.unionByName(rest)
+
+
+def known_in(df: DataFrame, text: Column, names: Sequence[str], out: str, otherwise: Column) -> DataFrame:
+    """df with the known names that stand in a text as whole words, in order, or `otherwise` where none does."""
+    found = dictionary_words(text, names)
+    return df.withColumn(out, F.when(F.size(found) > 0, F.array_distinct(F.transform(found, lambda w: F.lower(w)))).otherwise(otherwise))
+
+
+def interpolated(centres: DataFrame, keys: Sequence[str], col: str, x: str) -> DataFrame:
+    """centres (keys, col, x) with x of columns that lack it on the line between the known neighbours; beyond the outermost
+    known one the step between the two nearest goes on. Columns of a table with fewer than two known x stay null."""
+    w = Window.partitionBy(*keys).orderBy(col)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    known = F.when(F.col(x).isNotNull(), F.struct(F.col(col).alias("c"), F.col(x).alias("x")))
+    all_ = F.array_sort(F.collect_list(known).over(Window.partitionBy(*keys)))
+    rows = centres.withColumns({"_b": F.last(known, ignorenulls=True).over(back), "_a": F.first(known, ignorenulls=True).over(ahead), "_all": all_})
+    rows = rows.withColumns({"_p": F.when(F.col("_b").isNull(), F.try_element_at("_all", F.lit(1))).when(F.col("_a").isNull(), F.try_element_at("_all", F.lit(-2))).otherwise(F.col("_b")),
+                             "_q": F.when(F.col("_b").isNull(), F.try_element_at("_all", F.lit(2))).when(F.col("_a").isNull(), F.try_element_at("_all", F.lit(-1))).otherwise(F.col("_a"))})
+    line = F.col("_p.x") + (F.col(col) - F.col("_p.c")) * (F.col("_q.x") - F.col("_p.x")) / (F.col("_q.c") - F.col("_p.c"))
+    value = F.when(F.size("_all") >= 2, F.coalesce(F.col(x), line)).otherwise(F.col(x))
+    return rows.withColumn(x, value).select(*centres.columns)

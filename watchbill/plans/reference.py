@@ -193,8 +193,9 @@ def date_ranges(spark, d):
 select upload_id, month, year, n from (select *, row_number() over (partition by upload_id order by n desc, f, year, month) as r from c) where r = 1""")
 def month_mode(spark, d):
     """The month most days of an upload lie in, first seen on ties."""
-    c = table(spark, d, "entry").where("duty_date is not null").groupBy("upload_id", F.month("duty_date").alias("month"), F.year("duty_date").alias("year")).agg(F.count("*").alias("n"), F.min("ord").alias("f"))
-    return G.best_by(c, ["upload_id"], F.desc("n"), F.asc("f"), F.asc("year"), F.asc("month")).drop("f")
+    e = table(spark, d, "entry").where("duty_date is not null").withColumn("day", F.date_format("duty_date", "dd/MM/yyyy"))
+    texts = e.groupBy("upload_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "entry_id", "day"))), lambda r: r["day"]), " ").alias("text"))
+    return W.month_mode(texts, "text", ["upload_id"], 2000)
 
 
 _HEADERS = {"mri": "mri", "sound": "ultra|sono", "intervention": "interv|\\bir\\b", "evening": "^pm$"}
@@ -338,15 +339,6 @@ def indexed_keys(spark, d):
     return M.by_keys(table(spark, d, "entry").where("name is not null"), "entry_id", keys("name"), c, keys("name"), "p")
 
 
-@query("""with s as (select specialty, snap_no, list_sort(list(coalesce(cast(record_id as varchar), '') || '|' || coalesce(created_at, '') || '|' || coalesce(pdf_url, ''))) as sig from rota_snapshot where snap_no in (1, 2) group by all),
-a as (select * from s where snap_no = 1), b as (select * from s where snap_no = 2)
-select coalesce(a.specialty, b.specialty) as specialty, case when a.specialty is null then 'added' when b.specialty is null then 'removed' else 'changed' end as kind from a full join b on a.specialty = b.specialty where a.sig is distinct from b.sig""")
-def signature_diff(spark, d):
-    """Specialties whose bag of records differs between the first two snapshots."""
-    s = table(spark, d, "rota_snapshot")
-    return R.changed_groups(s.where("snap_no = 1"), s.where("snap_no = 2"), ["specialty"], F.col("record_id"), F.col("created_at"), F.col("pdf_url"))
-
-
 _STEPS = "steps as (select snap_no, lag(snap_no) over (order by snap_no) as prior from (select distinct snap_no from rota_snapshot where snap_no is not null))"
 
 
@@ -404,14 +396,6 @@ def row_confidence(spark, d):
     return e.withColumn("confidence", Q.confidence(F.col("score")))
 
 
-@query("""with a as (select specialty, count(*) as before from rota_snapshot where snap_no = 5 group by 1), b as (select specialty, count(*) as after from rota_snapshot where snap_no = 6 group by 1)
-select a.specialty, before, coalesce(after, 0) as after, coalesce(after, 0) < 0.6 * before as loss from a left join b on a.specialty = b.specialty""")
-def version_loss(spark, d):
-    """Specialties that lost rows between the last two snapshots (H8)."""
-    s = table(spark, d, "rota_snapshot")
-    return Q.version_loss(s.where("snap_no = 5"), s.where("snap_no = 6"), ["specialty"])
-
-
 @query(f"""with {_STEPS}, n as (select snap_no, specialty, count(*) as n from rota_snapshot group by 1, 2)
 select t.snap_no, a.specialty, a.n as before, coalesce(b.n, 0) as after, coalesce(b.n, 0) < 0.6 * a.n as loss from n a join steps t on a.snap_no = t.prior left join n b on b.snap_no = t.snap_no and a.specialty = b.specialty""")
 def version_losses(spark, d):
@@ -467,22 +451,6 @@ def ttl_cache(spark, d):
     return K.fresh(both, F.col("now"), "expires", "status", "success").select("upload_id")
 
 
-_ONE = "select record_id, specialty, date_text, pdf_url from (select *, row_number() over (partition by record_id order by delivered_at desc, specialty, date_text nulls first, pdf_url nulls first) as n from rota_snapshot where snap_no = {n}) where n = 1"
-
-
-@query(f"""with a as ({_ONE.format(n=5)}), b as ({_ONE.format(n=6)}), j as (select coalesce(a.record_id, b.record_id) as record_id, a.record_id is null as is_new, b.record_id is null as is_gone, a.specialty as s0, b.specialty as s1, a.date_text as d0, b.date_text as d1, a.pdf_url as p0, b.pdf_url as p1 from a full join b on a.record_id = b.record_id)
-select record_id, 'add' as action, null::varchar as field, null::varchar as old_value, null::varchar as new_value from j where is_new
-union all select record_id, 'delete', null, null, null from j where is_gone
-union all select record_id, 'edit', 'specialty', s0, s1 from j where not is_new and not is_gone and s0 is distinct from s1
-union all select record_id, 'edit', 'date_text', d0, d1 from j where not is_new and not is_gone and d0 is distinct from d1
-union all select record_id, 'edit', 'pdf_url', p0, p1 from j where not is_new and not is_gone and p0 is distinct from p1""")
-def audit_diff(spark, d):
-    """Change log of the last two snapshots: one row per changed field."""
-    s = table(spark, d, "rota_snapshot")
-    one = lambda n: G.best_by(s.where(F.col("snap_no") == n), ["record_id"], F.desc("delivered_at"), F.asc("specialty"), F.asc_nulls_first("date_text"), F.asc_nulls_first("pdf_url"))
-    return A.changes_log(one(5), one(6), "record_id", ["specialty", "date_text", "pdf_url"])
-
-
 @query(f"""with {_STEPS}, o as (select * from (select *, row_number() over (partition by snap_no, record_id order by delivered_at desc, specialty, date_text nulls first, pdf_url nulls first) as n from rota_snapshot) where n = 1),
 a as (select t.snap_no, record_id, specialty, date_text, pdf_url from o join steps t on o.snap_no = t.prior), b as (select o.* from o join steps t on o.snap_no = t.snap_no where prior is not null),
 j as (select coalesce(a.snap_no, b.snap_no) as snap_no, coalesce(a.record_id, b.record_id) as record_id, a.record_id is null as is_new, b.record_id is null as is_gone, a.specialty as s0, b.specialty as s1, a.date_text as d0, b.date_text as d1, a.pdf_url as p0, b.pdf_url as p1 from a full join b on a.snap_no = b.snap_no and a.record_id = b.record_id)
