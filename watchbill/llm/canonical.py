@@ -82,6 +82,9 @@ def name_cost(typed: list, known: list) -> float | None:
     if not typed or not known:
         return None
     costs = [[word_cost(q, r) for r in known] for q in typed]
+    if len(typed) == len(known) == 2:  # the usual case
+        best = min(costs[0][0] + costs[1][1], costs[0][1] + costs[1][0])
+        return best if best < float("inf") else None
     best = None
     small, large = (len(typed), len(known)) if len(typed) <= len(known) else (len(known), len(typed))
     if large > 4:
@@ -128,8 +131,14 @@ class SymmetricDelete:
 
     def near(self, word: str) -> frozenset[int]:
         """Entries of the list that hold a word within the reach of word."""
-        found = {w for d in deletes(word, _reach(word)) for w in self.words.get(d, ())}
-        return frozenset(i for w in found if distance(word, w, 2) <= 2 for i in self.holders[w])
+        sure, open_ = set(), set()
+        for d in deletes(word, _reach(word)):
+            mine = len(word) - len(d)
+            for w in self.words.get(d, ()):
+                # letters taken out of both words together are at least as many as the edits between them
+                (sure if mine + len(w) - len(d) <= 2 else open_).add(w)
+        sure.update(w for w in open_ - sure if distance(word, w, 2) <= 2)
+        return frozenset(i for w in sure for i in self.holders[w])
 
     def slips(self, whole: str) -> frozenset[str]:
         """Numbers of the list that are one edit away from a whole number."""
