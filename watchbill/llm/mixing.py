@@ -100,8 +100,10 @@ def mix(items: DataFrame, targets: DataFrame, id: str, source: str, tokens: str,
 
 
 def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, target_share, tokens, share, passes, max_repeat): what each source of targets really reached."""
+    """(source, target_share, tokens, share, passes, max_repeat, off): what each source of targets really reached, and how far
+    off its target that is."""
     sums = mixture.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("pass_no").alias("passes"))
     whole = sums.agg(F.sum("tokens").alias("whole"))
     out = targets.join(sums, "source", "left").crossJoin(F.broadcast(whole))  # whole is one row
-    return out.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"), F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeat")
+    return out.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("share"), F.coalesce("passes", F.lit(0)).alias("passes"), "max_repeat",
+        (F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)) - F.col("target_share")).alias("off"))

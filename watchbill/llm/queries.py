@@ -59,6 +59,28 @@ def p7_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fills(p7_bins(spark, sf_dir), table(spark, sf_dir, "pack_target"))
 
 
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p7_bins must keep: every text placed, no container over its capacity, no text cut that fits, no token twice."""
+    packed, sized = p7_bins(spark, sf_dir), _sized(spark, sf_dir).where("tokens > 0")
+    kinds = table(spark, sf_dir, "pack_target").select("pack_name", "capacity_tokens")
+    bins = packed.groupBy("pack_name", "bin").agg(F.sum("tokens").alias("n")).join(kinds, "pack_name")
+    over = bins.groupBy("pack_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    texts = packed.groupBy("pack_name", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("placed")).join(sized.select("doc_id", "tokens"), "doc_id").join(kinds, "pack_name")
+    cut = (F.col("tokens") <= F.col("capacity_tokens")) & (F.col("pieces") > 1)
+    out = texts.groupBy("pack_name").agg(F.count("*").alias("texts"), F.count_if(cut).alias("cut"), F.count_if(F.col("placed") != F.col("tokens")).alias("misplaced"))
+    return out.join(over, "pack_name").select("pack_name", "texts", "overfull", "cut", "misplaced")
+
+
+def p8_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p8_mixture must keep: no text oftener than its source may repeat, each pass of a text once, no other source."""
+    mixed = p8_mixture(spark, sf_dir)
+    once = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.max("pass_no").alias("last"))
+    targets = table(spark, sf_dir, "mix_target").select("source", "max_repeat")
+    both = once.join(targets, "source", "full")
+    return both.groupBy("source").agg(
+        F.count_if(F.col("n") > F.col("max_repeat")).alias("too_often"), F.count_if(F.col("n") != F.col("last")).alias("passes_missing"), F.count_if(F.col("max_repeat").isNull()).alias("unknown"))
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of the sources of documents, in the order of slot."""
     return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_target"), "doc_id", "source", "tokens")
@@ -87,5 +109,9 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("subject", F.coalesce("documents", F.lit(0)).alias("documents"), share.alias("share"), "target_share", (F.col("target_share") / share).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p6_found, p7_bins, p7_fills, p8_mixture, p8_shares, p9_found, p9_composition)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p6_found, p7_bins, p7_fills, p7_audit, p8_mixture, p8_shares, p8_audit, p9_found, p9_composition)}
+ORACLE: dict[str, str] = {
+    # what must hold, without the tokenizer: every text with a letter has tokens
+    "p7_audit": "select pack_name, (select count(*) from documents where text <> '') as texts, 0 as overfull, 0 as cut, 0 as misplaced from pack_target",
+    "p8_audit": "select source, 0 as too_often, 0 as passes_missing, 0 as unknown from mix_target",
+}
