@@ -3,6 +3,7 @@
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from watchbill.sources.files import read_csv, read_documents, write_csv, write_json
@@ -66,3 +67,57 @@ def test_events_of_later_files_count(spark, tmp_path, monkeypatch):
     read = C.read_events
     monkeypatch.setattr(C, "read_events", lambda *a: read(*a, files_per_trigger=1))
     assert sorted(str(r["window_start"])[:10] for r in click_stream_counts(spark, str(tmp_path)).collect() for _ in range(r["n"])) == ["2025-12-31", "2026-01-01", "2026-01-02"]
+
+
+def test_jdbc_round_trip(spark, tmp_path):
+    from watchbill.sources.files import read_jdbc, write_jdbc
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(50)] + [(99, None)], "id int, name string")
+    write_jdbc(df, url, "people", "overwrite", 2)
+    back = read_jdbc(spark, url, "people", "id", 0, 100, 3)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
+
+
+def test_unreadable_documents_keep_their_error(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x")
+
+    def extract(path, content):
+        raise ValueError("broken page")
+
+    rows = read_documents(spark, str(tmp_path), extract, "path string, text string, error string").collect()
+    assert [(r["text"], r["error"]) for r in rows] == [(None, "ValueError: broken page")]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from watchbill.operators.store import content_key
+    from watchbill.sources import tables
+
+    df = spark.createDataFrame([("a", None), ("a", ""), (None, "a")], "x string, y string")
+    assert len({r[0] for r in df.select(content_key(F.col("x"), F.col("y"))).collect()}) == 3
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        tables.shared_dir(Session)
+
+
+def test_latest_state_over_batches(spark, tmp_path):
+    from watchbill.streaming.clicks import latest_state
+
+    schema = "k string, v int, at timestamp, id int"
+    name = uuid.uuid4().hex
+    for batch in ([("a", 1, "2026-01-02", 1), ("b", 1, "2026-01-01", 2)], [("a", 2, "2026-01-01", 3), ("b", 2, "2026-01-02", 4), ("c", 1, "2026-01-01", 5)], []):
+        df = spark.createDataFrame(batch, "k string, v int, at string, id int").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        keep_latest(read_events(spark, str(tmp_path / "in")), ["k"], "at", "id", str(tmp_path / "out"), name).awaitTermination()
+    assert {(r["k"], r["v"]) for r in latest_state(spark, str(tmp_path / "out"), schema).collect()} == {("a", 1), ("b", 2), ("c", 1)}
+    assert latest_state(spark, str(tmp_path / "none"), schema).count() == 0

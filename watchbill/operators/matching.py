@@ -47,7 +47,7 @@ def ladder(df: DataFrame, id: str, name: str, block: Sequence[str], contacts: Da
 
     Rules in order: 1 all words equal, 2 prefixes, 3 one edit, 4 two edits (uncertain); the rule of a pair is the worst
     over its words. A rule that finds more than one phone is passed over. df and contacts are compared within equal
-    `block` columns. Rows without name, contacts without phone take no part. Contacts are reduced to distinct (block,
+    `block` columns. Rows without name or with a null in block, contacts without phone take no part. Contacts are reduced to distinct (block,
     name, phone) first. Candidates come from an equi join on keys of the longest word looked for, which a rule's first
     condition is that it fits; the keys are complete for every rule.
 

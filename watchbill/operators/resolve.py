@@ -30,7 +30,8 @@ def merge_schedules(primary: DataFrame, fallback: DataFrame, keys: Sequence[str]
 
 def active_at(df: DataFrame, minute: int, start: str, end: str, group: Sequence[str], quiet: Column) -> DataFrame:
     """Rows in force at a minute of the day: in groups with a `quiet` row (no coverage) only those rows; else rows whose
-    window holds; where no row of a group has a window, all of them; where windows are known and none holds, none."""
+    window holds; where no row of a group has a window, all of them; where windows are known and none holds, none. Rows
+    with a null in group are left out."""
     at = F.lit(minute)
     known = F.col(start).isNotNull() & F.col(end).isNotNull()
     marked = df.withColumns({"_quiet": F.coalesce(quiet, F.lit(False)), "_known": known, "_on": F.coalesce(known & range_active(at, F.col(start), F.col(end)), F.lit(False))})

@@ -82,5 +82,6 @@ def detect(df: DataFrame, id: str, text: str, entries: DataFrame, key: str, keyw
 
     if not rows:
         return df.select(id, F.lit("").alias(key), F.lit(0).alias("score"), F.lit(True).alias("uncertain")).limit(0)
-    out = df.select(id, padded.alias("_t")).select(id, scores(F.col("_t")).alias("_b")).where("_b.score > 0")
+    # generated rows, so that a text is normalised once and scored once, whatever is filtered later
+    out = df.select(id, F.explode(F.array(padded)).alias("_t")).select(id, F.explode(F.array(scores(F.col("_t")))).alias("_b")).where("_b.score > 0")
     return out.select(id, F.col("_b.key").alias(key), F.col("_b.score").alias("score"), (F.col("_b.score") < certain).alias("uncertain"))

@@ -39,11 +39,6 @@ def keep_if_any(df: DataFrame, keys: Sequence[str], keep: Column) -> DataFrame:
     return out.where(F.col("_keep") | ~F.col("_any")).select(*df.columns)
 
 
-def only_if_any(df: DataFrame, keys: Sequence[str], flag: Column) -> DataFrame:
-    """In groups where some row has the flag only those rows, elsewhere all rows: the short circuit of a group."""
-    return keep_if_any(df, keys, flag)
-
-
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """Nulls of columns filled with the last value before them in the order of the group."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchbill.functions import timeops as T
-from watchbill.functions.clock import clock_minute
+from watchbill.functions.clock import clock_minute, let
 from watchbill.functions.rules import lane
 from watchbill.functions.text import canonical_name, clean_phone, normalized_text
 from watchbill.operators import analytics as A
@@ -332,8 +332,7 @@ select entry_id, p, hits, hits = 1 as certain from f where n = 1""")
 def indexed_keys(spark, d):
     """Entries matched by whole name, else first, else last word."""
     def keys(name: str):
-        w = F.split(canonical_name(F.col(name)), " ")
-        return F.array(F.array_join(w, " "), F.element_at(w, 1), F.element_at(w, -1))
+        return let(F.split(canonical_name(F.col(name)), " "), lambda w: F.array(F.array_join(w, " "), F.element_at(w, 1), F.element_at(w, -1)))
 
     c = table(spark, d, "contact").where("name is not null").withColumn("p", clean_phone(F.col("phone"))).where("p is not null")
     return M.by_keys(table(spark, d, "entry").where("name is not null"), "entry_id", keys("name"), c, keys("name"), "p")

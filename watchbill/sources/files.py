@@ -36,11 +36,17 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, pushDownLimit="true", pushDownOffset="true").load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", parts: int = 8, batch: int = 1_000) -> None:
+    """df into a table over JDBC through at most `parts` connections, `batch` rows a call; a task that runs again may
+    write its rows again, so give the table a key or write to a new one."""
+    df.write.format("jdbc").options(url=url, dbtable=table, numPartitions=parts, batchsize=batch).mode(mode).save()
+
+
 def read_documents(spark: SparkSession, path: str, extract: Callable[[str, bytes], Iterator[dict]], schema: str, glob: str = "*.pdf") -> DataFrame:
     """Rows that `extract(path, content)` yields for each file, in Arrow batches; no extractor is built in.
 
-    Files are read whole, one at a time. One that the extractor cannot read is not lost: it gives one row with its path
-    and nulls. Files without content are passed over by the scan.
+    Files are read whole, one at a time. One that the extractor cannot read is not lost: it gives one row with its path,
+    the error's text in a column `error` if schema has one, and nulls. Files without content are passed over by the scan.
     """
     out = spark.createDataFrame([], schema).schema
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "content")
@@ -53,8 +59,8 @@ def read_documents(spark: SparkSession, path: str, extract: Callable[[str, bytes
             for name, content in zip(batch.column("path"), batch.column("content")):
                 try:
                     rows = list(extract(name.as_py(), content.as_py()))
-                except Exception:  # noqa: BLE001
-                    rows = [{"path": name.as_py()}]
+                except Exception as e:  # noqa: BLE001
+                    rows = [{"path": name.as_py(), "error": f"{type(e).__name__}: {e}"}]
                 yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in arrow.names} for r in rows], schema=arrow)
 
     return files.mapInArrow(run, out)
