@@ -183,3 +183,14 @@ def test_interval_join_keeps_repeated_rows(spark):
     shifts = spark.createDataFrame([(1, 0, 10, 1, "a"), (1, 5, 20, 2, "b"), (1, 9, 9, 0, "z")], "k int, s int, e int, o int, v string")
     rows = spark.createDataFrame([(1, 7, "x"), (1, 7, "x"), (1, 15, "y"), (1, 99, "z"), (None, 7, "w"), (1, None, "u")], "k int, t int, tag string")
     assert values(interval_join(rows, "t", ["k"], shifts, "s", "e", "o", "v", cell=8)) == sorted([(1, 7, "x", "a"), (1, 7, "x", "a"), (1, 15, "y", "b"), (1, 99, "z", None), (None, 7, "w", None), (1, None, "u", None)], key=str)
+
+
+def test_appended_accepted_and_raised(spark):
+    c = spark.createDataFrame([("s", "a", "1"), (None, "b", "2")], "s string, k string, p string")
+    r = spark.createDataFrame([("s", "a", "9"), ("s", "c", "4"), ("s", "c", "3"), (None, "d", "5")], "s string, k string, p string")
+    assert values(X.appended(c, r, ["s", "k"])) == sorted([("s", "a", "1"), (None, "b", "2"), ("s", "c", "3")], key=str)
+    names = spark.createDataFrame([(1, "A. Khan"), (2, "Sara Malik"), (3, None), (4, "x")], "id int, n string")
+    new = spark.createDataFrame([(1, "Dr. Ali KHAN"), (2, "Sara Khan"), (3, "y"), (4, " ")], "id int, n string")
+    assert values(X.accepted_names(names, new, ["id"], "n")) == [(1, "Dr. Ali KHAN"), (2, "Sara Malik"), (3, None), (4, "x")]
+    ranks = spark.createDataFrame([("R2", "R4"), ("R4", "R2"), (None, "R1"), ("R2", None), ("x", "R1")], "l string, r string")
+    assert [x[0] for x in ranks.select(X.raised(F.col("l"), F.col("r"), ["R1", "R2", "R4"])).collect()] == ["R4", "R4", "R1", "R2", "R1"]

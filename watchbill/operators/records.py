@@ -157,3 +157,27 @@ def month_stale(df: DataFrame, keys: Sequence[str], month: Column, now: Column)
     """(keys..., months, stale): whether the months named in a group lack the current one; groups that name none are not
     stale."""
     return df.groupBy(*keys).agg(F.sort_array(F.collect_set(month)).alias("months")).withColumn("stale", (F.size("months") > 0) & ~F.array_contains("months", now))
+
+
+def appended(contacts: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """contacts and those resolved rows (equal columns) whose keys they lack, each once; a null key is never appended."""
+    new = resolved.where(" and ".join(f"`{k}` is not null" for k in keys)).join(contacts.select(*keys).distinct(), list(keys), "left_anti")
+    return contacts.unionByName(best_by(new, keys, *[F.asc_nulls_last(c) for c in new.columns]).select(*contacts.columns))
+
+
+def accepted_names(df: DataFrame, proposals: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """df with proposed names (keys, name; one row per keys) where the last word stays the same, else the name it has.
+
+    Words are compared without case and marks; an empty or missing proposal changes nothing.
+    """
+    last = lambda c: F.element_at(F.split(normalized_text(c), " "), -1)
+    known = proposals.select(*keys, F.col(name).alias("_new"))
+    fine = (last(F.col("_new")) == last(F.col(name))) & (F.trim("_new") != "")
+    out = df.join(known, list(keys), "left").withColumn(name, F.when(F.coalesce(fine, F.lit(False)), F.col("_new")).otherwise(F.col(name)))
+    return out.select(*df.columns)
+
+
+def raised(label: Column, rank: Column, ranks: Sequence[str]) -> Column:
+    """A label, or the rank of the person under it where that is higher; ranks in rising order, others are no ranks."""
+    at = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(r) for r in ranks]), c), F.lit(0))
+    return F.when(at(rank) > at(label), rank).otherwise(label)

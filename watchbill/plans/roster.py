@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from watchbill.functions import timeops as T
 from watchbill.functions.clock import clock_minute
-from watchbill.functions.text import clean_phone, date_key
+from watchbill.functions.rules import rule_join
+from watchbill.functions.text import canonical_name, clean_phone, date_key, slug
 from watchbill.operators import analytics as A
 from watchbill.operators import matching as M
 from watchbill.operators import people as P
@@ -452,7 +453,7 @@ g as (select upload_id, count(*) as rows, count(*) filter (u and not q) as usabl
 select upload_id, rows, usable, high, case when quiet then 'high' when usable = 0 then 'low' when high >= 0.7 * usable then 'high' when fair >= 0.6 * usable then 'medium' else 'low' end as overall,
   array_to_string(list_filter([case when usable = 0 and not quiet then 'no-usable-rows' end, case when p0 then 'merged-names' end, case when p1 then 'missing-phones' end, case when p2 then 'missing-roles' end], lambda x: x is not null), ',') as issues from g""")
 def record_audits(spark, d):
-    """The audit of each upload from its rows."""
+    """The audit of each upload from its rows."""
     e = table(spark, d, "entry").where("upload_id is not null")
     no_phone, unsure = clean_phone(F.col("phone")).isNull(), F.coalesce("phoneuncertain", F.lit(False))
     quiet = F.contains(F.lower(F.coalesce("name", F.lit(""))), F.lit("no coverage"))
@@ -464,7 +465,7 @@ def record_audits(spark, d):
 
 @query("""select upload_id, date_key from entry where upload_id is not null and date_key is not null group by 1, 2 having bool_or(coalesce(lower(role) like '%consultant%', false)) and not bool_or(coalesce(regexp_matches(lower(role), '1st|resident|junior'), false))""")
 def tier_gaps(spark, d):
-    """Days of an upload with a consultant and nobody of the first tier."""
+    """Days of an upload with a consultant and nobody of the first tier (H3)."""
     e = table(spark, d, "entry").where("upload_id is not null and date_key is not null")
     return Q.upper_only(e, ["upload_id", "date_key"], F.contains(F.lower("role"), F.lit("consultant")), F.lower("role").rlike("1st|resident|junior"))
 
@@ -508,7 +509,7 @@ def section_lock(spark, d):
 @query("""with s as (select upload_id, case status when 'success' then 92 when 'partial' then 84 when 'error' then 30 else 52 end - (case when not parsed_active then 12 else 0 end) - (case when entries_count is null then 25 else 0 end) - (case when entries_count < 5 then 18 else 0 end) as s, coalesce(is_active and entries_count >= 3, false) as f, not parsed_active as p1, entries_count is null as p2, entries_count < 5 as p3 from upload)
 select upload_id, least(greatest(case when f then greatest(s, 72) else s end, 0), 100) as score, array_to_string(list_filter([case when p1 then 1 end, case when p2 then 2 end, case when p3 then 3 end], lambda x: x is not null), ',') as reasons from s""")
 def trust_scores(spark, d):
-    """Trust in each upload: a base by state, penalties, a floor, between 0 and 100."""
+    """Trust in each upload: a base by state, penalties, a floor, between 0 and 100."""
     base = F.when(F.col("status") == "success", 92).when(F.col("status") == "partial", 84).when(F.col("status") == "error", 30).otherwise(52)
     score, reasons = Q.trust(base, [(~F.col("parsed_active"), 12), (F.col("entries_count").isNull(), 25), (F.col("entries_count") < 5, 18)], (F.col("is_active") & (F.col("entries_count") >= 3), 72))
     return table(spark, d, "upload").select("upload_id", score.alias("score"), F.array_join(F.transform(reasons, lambda r: r.cast("string")), ",").alias("reasons"))
@@ -629,3 +630,74 @@ def latest_stream(spark, d):
     path = f"{shared_dir(spark)}/latest-{name}"
     keep_latest(stream.select("site_code", "doctor", "edit_id", "role", "created_at"), ["site_code", "doctor"], "created_at", "edit_id", path, name).awaitTermination()
     return latest_state(spark, path, "site_code string, doctor string, edit_id bigint, role string, created_at timestamp_ntz").select("site_code", "doctor", "edit_id", "role")
+
+
+@query("""with c as (select entry_id, not coalesce(regexp_full_match(date_key, '[0-9]{1,2}/[0-9]{1,2}'), false) as d, not coalesce(length(trim(name)) between 3 and 80, false) as n, phone is not null and not regexp_full_match(phone, '05[0-9]{8}') as p, coalesce(trim(role), '') = '' as r from entry)
+select entry_id, array_to_string(list_filter([case when d then 'date' end, case when n then 'name' end, case when p then 'phone' end, case when r then 'role' end], lambda x: x is not null), ',') as invalid from c where d or n or p or r""")
+def field_checks(spark, d):
+    """Fields of entries that are not as they must be."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    checks = [
+        (no(F.col("date_key").rlike("^[0-9]{1,2}/[0-9]{1,2}$")), "date"), (no(F.length(F.trim("name")).between(3, 80)), "name"),
+        (F.col("phone").isNotNull() & ~F.col("phone").rlike("^05[0-9]{8}$"), "phone"), (F.coalesce(F.trim("role"), F.lit("")) == "", "role")]
+    found = table(spark, d, "entry").select("entry_id", F.explode(F.array(Q.issues(checks))).alias("i"))
+    return found.where(F.size("i") > 0).select("entry_id", F.array_join("i", ",").alias("invalid"))
+
+
+@query("""select label, substr('custom_' || regexp_replace(regexp_replace(lower(trim(label)), '[^\\p{L}\\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 50) as key from (select label from specialty union select section from imaging union select filename from upload) where label is not null""")
+def custom_keys(spark, d):
+    """Keys made of labels and file names."""
+    labels = table(spark, d, "specialty").select("label").unionByName(table(spark, d, "imaging").select(F.col("section").alias("label"))).unionByName(table(spark, d, "upload").select(F.col("filename").alias("label")))
+    return labels.where("label is not null").distinct().select("label", slug(F.col("label")).alias("key"))
+
+
+@query("""with c as (select entry_id, string_split(regexp_replace(role, '\\s+', ' ', 'g'), ' ') as w from entry where role is not null) select entry_id, array_to_string(case when len(w) = 2 then w when len(w) = 3 then [w[1], w[2] || ' ' || w[3]] else [array_to_string(w[1:len(w) - 4], ' '), array_to_string(w[len(w) - 3:], ' ')] end, '|') as parts from c where len(w) between 2 and 3""")
+def word_partitions(spark, d):
+    """Words of a role split into exactly two runs, by the best score."""
+    e = table(spark, d, "entry").where("role is not null").withColumn("w", F.split(F.regexp_replace("role", "\\s+", " "), " ")).where(F.size("w").between(2, 3))
+    return W.partition_tokens(e, "w", ["no such name"], groups=2, widest=4).select("entry_id", F.array_join("parts", "|").alias("parts"))
+
+
+@query("""select entry_id, case when lower(role) like '%consultant%' then 'senior' when lower(role) like '%fellow%' then 'middle' when lower(role) like '%registrar%' then 'middle' when lower(role) like '%resident%' then 'junior' else 'unknown' end as tier from entry""")
+def hinted_tiers(spark, d):
+    """A tier for each role by a table of hints, else a fallback."""
+    hints = spark.createDataFrame([("consultant", 1, "senior"), ("fellow", 2, "middle"), ("registrar", 3, "middle"), ("resident", 4, "junior")], "hint string, ord int, tier string")
+    e = table(spark, d, "entry").select("entry_id", "role")
+    return rule_join(e, "role", hints, "hint", "ord", "tier", ["entry_id"]).withColumn("tier", F.coalesce("tier", F.lit("unknown")))
+
+
+@query("""select contact_id, case when list_position(['R1', 'R2', 'R3', 'R4', 'R5'], rank) > coalesce(list_position(['R1', 'R2', 'R3', 'R4', 'R5'], 'R2'), 0) then rank else 'R2' end as label from contact""")
+def raised_labels(spark, d):
+    """The label of a column, or the higher rank of the person under it."""
+    return table(spark, d, "contact").select("contact_id", X.raised(F.lit("R2"), F.col("rank"), ["R1", "R2", "R3", "R4", "R5"]).alias("label"))
+
+
+@query("""with i as (select * from (values ('night', 'intervention'), ('night', 'ct'), ('scan', 'mri')) t(intent, word))
+select i.intent, m.imaging_id from imaging m join i on contains(lower(m.section), i.word) group by 1, 2""")
+def intent_sections(spark, d):
+    """Rows of the sections that an intent stands for."""
+    intents = spark.createDataFrame([("night", "intervention"), ("night", "ct"), ("scan", "mri")], "intent string, word string")
+    m = table(spark, d, "imaging").select("imaging_id", F.lower("section").alias("s"))
+    return m.join(F.broadcast(intents), F.contains("s", F.col("word"))).select("intent", "imaging_id").distinct()  # three stated words
+
+
+@query(f"""with k as (select site_code, {canon('name')} as key, {phone('phone')} as p from contact where {phone('phone')} is not null and site_code is not null and {canon('name')} <> ''), c as (select distinct site_code, key, p from k),
+r as (select e.site_code, {canon('e.name')} as key, {phone('e.phone')} as p from entry e where {phone('e.phone')} is not null and e.site_code is not null and {canon('e.name')} <> ''),
+n as (select site_code, key, min(p) as p from r where (site_code, key) not in (select (site_code, key) from c) group by 1, 2)
+select site_code, key, p from c union all select site_code, key, p from n""")
+def appended_contacts(spark, d):
+    """Contacts of each site, and the numbers of entries whose names they lack."""
+    def known(name: str) -> DataFrame:
+        t = table(spark, d, name).select("site_code", canonical_name(F.col("name")).alias("key"), clean_phone(F.col("phone")).alias("p"))
+        return t.where("p is not null and site_code is not null and key <> ''")
+
+    return X.appended(known("contact").distinct(), known("entry"), ["site_code", "key"])
+
+
+@query(f"""with p as (select {phone('phone')} as p, arg_max(name, contact_id) as n from contact where {phone('phone')} is not null and name is not null group by 1), e as (select edit_id, doctor, {phone('phone')} as p from rota_edit)
+select edit_id, case when string_split({_NORM.format(x='n')}, ' ')[-1] = string_split({_NORM.format(x='doctor')}, ' ')[-1] and trim(n) <> '' then n else doctor end as doctor from e left join p on e.p = p.p""")
+def accepted_names(spark, d):
+    """Edits with the name known for their number, where the last word stays the same."""
+    c = table(spark, d, "contact").withColumn("p", clean_phone(F.col("phone"))).where("p is not null and name is not null").groupBy("p").agg(F.max_by("name", "contact_id").alias("doctor"))
+    e = table(spark, d, "rota_edit").select("edit_id", "doctor", clean_phone(F.col("phone")).alias("p"))
+    return X.accepted_names(e, c, ["p"], "doctor").select("edit_id", "doctor")
