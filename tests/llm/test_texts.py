@@ -145,6 +145,15 @@ def test_models_on_held_out_documents():
     assert right >= 28
 
 
+def test_numbers_of_texts_equal_those_of_sentences():
+    docs, _ = made(20, 5)
+    m = Models(["food", NONE])
+    m.index([sentences(d) for d in docs])
+    for t in [*docs, "", "...", "unknown words. goal 12/03!  Next\n<b>team</b> 7pm", "a " * 1200 + ". race", "\x01 odd"]:
+        (a, b), (c, d) = m.numbered(t), m.numbers(sentences(t))
+        assert a.tolist() == c.tolist() and b.tolist() == d.tolist()
+
+
 def test_models_are_distributions_and_orders_grow_likelier():
     docs, labels = made(60, 4)
     parts = [sentences(d) for d in docs]

@@ -28,6 +28,8 @@ _REMARK = re.compile(r"\([^()]*\)")
 
 def plain(text: str) -> str:
     """text without accents, format characters and letter width."""
+    if text.isascii():
+        return text
     return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c) not in ("Mn", "Cf"))
 
 

@@ -39,20 +39,37 @@ LONGEST = 500  # words of a sentence
 
 _END = re.compile(r"(?<=[.!?؟])(?<!\bDr\.)(?<!\bDR\.)(?<!\bdr\.)(?<!\bno\.)(?<!\bProf\.)(?<!\bext\.)(?<!د\.)[\"')\]]*\s+")
 _TAG = re.compile(r"<[^<>]{1,200}>")
-_WORD = re.compile(r"[^\W\d_]+|\d+")
+_NUMBER = re.compile(r"\d+")
+_STOP = "\x01"  # put where a sentence ends
+_WORD = re.compile(rf"[^\W\d_]+|0|{_STOP}")
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence: lower case, numbers as 0; a heading without a full stop goes with what follows;
-    a run of more than LONGEST words without an end counts as several sentences."""
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case, numbers as 0, and a mark where a sentence ends; a heading without a full stop
+    goes with what follows."""
     text = unicodedata.normalize("NFKC", _TAG.sub(" ", text)).replace("-\n", " ")
-    out = []
-    for part in _END.split(text):
-        words = ["0" if w[0].isdigit() else w for w in _WORD.findall(part.lower())]
-        out += [words[i : i + LONGEST] for i in range(0, len(words), LONGEST)]
+    return _WORD.findall(_NUMBER.sub("0", _END.sub(f" {_STOP} ", text)).lower())
+
+
+def sentences(text: str) -> list[list[str]]:
+    """The words of each sentence; a run of more than LONGEST words without an end counts as several sentences."""
+    out, at = [], []
+    for w in [*words_of(text), _STOP]:
+        if w != _STOP:
+            at.append(w)
+        elif at:
+            out += [at[i : i + LONGEST] for i in range(0, len(at), LONGEST)]
+            at = []
     return out
 
 
+class _Numbers(dict):
+    """Numbers of words, `unknown` for any other."""
+
+    def __missing__(self, word):
+        return self.unknown
+
+
 class Models:
     """Counts per class of known words, bigrams and trigrams, and the background's."""
 
@@ -85,6 +102,23 @@ class Models:
         ids = np.fromiter((get(w, unknown) for s in doc_sentences for w in s), np.int32, int(lengths.sum()))
         return ids, np.cumsum(lengths) - lengths
 
+    def numbered(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """numbers(sentences(text)), without a list per sentence."""
+        known = vars(self).get("_known")
+        if known is None:
+            known = self._known = _Numbers(self.words)
+            known.unknown = len(self.words) + 1
+            known[_STOP] = -1
+        ids = np.array(list(map(known.__getitem__, words_of(text))), np.int32)
+        word = ids >= 0
+        sentence = np.cumsum(~word)[word]
+        ids = ids[word]
+        if not len(ids):
+            return ids, np.zeros(0, np.int64)
+        first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+        place = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+        return ids, np.flatnonzero(place % LONGEST == 0)
+
     def _codes(self, ids: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(code, whether there is one) of the bigram and of the trigram that ends at each word."""
         size = len(self.words) + 2
@@ -128,25 +162,25 @@ class Models:
         for k, size in enumerate((len(self.words) + 1, *map(len, self.known))):
             known = tokens[:, k] >= 0
             at = tokens[known, k]
-            self.counts.append(np.stack([np.bincount(at, weight[known, c], size) for c in range(weight.shape[1])], 1))
-        self.totals = np.maximum(self.counts[0].sum(0), 1e-3) / (1 - self.unseen)
+            self.counts.append(np.stack([np.bincount(at, weight[known, c], size) for c in range(weight.shape[1])], 1).astype(np.float32))
+        self.totals = (np.maximum(self.counts[0].sum(0, dtype=np.float64), 1e-3) / (1 - self.unseen)).astype(np.float32)
         self.contexts = [self._by_context(k, self.counts[k + 1]) for k in range(2)]
 
     def _by_context(self, k: int, counts: np.ndarray) -> np.ndarray:
         """Counts of the known n-grams summed by what comes before their last word."""
         size = len(self.words) + 1 if k == 0 else len(self.known[0])
         at = self.known[k] // (len(self.words) + 2)
-        return np.stack([np.bincount(at, c, size) for c in counts.T], 1)
+        return np.stack([np.bincount(at, c, size) for c in counts.T], 1).astype(counts.dtype)
 
     def parts(self, tokens: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """(P of each token under each class by trigram, bigram, unigram and background; P under the background alone)."""
         c1, c2, c3 = self.counts
 
         def pick(table, ids):
-            return np.where((ids >= 0)[:, None], table[np.maximum(ids, 0)], 0) if len(table) else np.zeros((len(ids), table.shape[1]))
+            return np.where((ids >= 0)[:, None], table[np.maximum(ids, 0)], table.dtype.type(0)) if len(table) else np.zeros((len(ids), table.shape[1]), table.dtype)
 
         w, two, three, ctx2, ctx1 = tokens.T
-        p1 = np.where((w >= 0)[:, None], pick(c1, w) / self.totals, self.unseen)
+        p1 = np.where((w >= 0)[:, None], pick(c1, w) / self.totals, np.float32(self.unseen))
         # contexts that a class has seldom seen lean on the lower order
         p2 = (pick(c2, two) + TRUST * p1) / (pick(self.contexts[0], ctx1) + TRUST)
         p3 = (pick(c3, three) + TRUST * p2) / (pick(self.contexts[1], ctx2) + TRUST)
@@ -154,7 +188,7 @@ class Models:
         q1 = (b1[np.where(w >= 0, w, len(b1) - 1)] + 1 / len(b1)) / (b1.sum() + 1)
         q2 = (pick(b2, two)[:, 0] + TRUST * q1) / (pick(by_word, ctx1)[:, 0] + TRUST)
         l3, l2, l1, l0 = self.orders
-        return [p3, p2, p1, np.repeat(q1[:, None], c1.shape[1], 1)], (l3 + l2) * q2 + (l1 + l0) * q1
+        return [p3, p2, p1, np.broadcast_to(q1.astype(np.float32)[:, None], p1.shape)], (l3 + l2) * q2 + (l1 + l0) * q1
 
     def gains(self, tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Of each sentence the bits, in nats, by which each class codes it shorter than the background."""
@@ -164,15 +198,21 @@ class Models:
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + CHUNK, side="right")) - 1)
             parts, back = self.parts(tokens[bounds[i] : bounds[j]])
-            mixed = sum(l * p for l, p in zip(self.orders, parts))
-            out.append(np.add.reduceat(np.log(mixed) - np.log(back)[:, None], starts[i:j] - starts[i], axis=0))
+            mixed = self._mixed(parts)
+            out.append(np.add.reduceat(np.log(mixed) - np.log(back).astype(np.float32)[:, None], starts[i:j] - starts[i], axis=0))
             i = j
         return np.concatenate(out) if out else np.zeros((0, len(self.classes)))
 
+    def _mixed(self, parts: list[np.ndarray]) -> np.ndarray:
+        out = parts[0] * float(self.orders[0])
+        for weight, p in zip(self.orders[1:].tolist(), parts[1:]):
+            out += weight * p
+        return out
+
     def posterior(self, tokens: np.ndarray, starts: np.ndarray, prior: np.ndarray, odds: np.ndarray) -> np.ndarray:
         """P(class) of each sentence, the background last; odds: of each class in the sentence's document."""
         gain = self.gains(tokens, starts)
-        score = np.concatenate([gain, np.zeros((len(gain), 1))], 1) + np.log(prior) + np.log(odds)
+        score = np.concatenate([gain.astype(np.float64), np.zeros((len(gain), 1))], 1) + np.log(prior) + np.log(odds)
         p = np.exp(score - score.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -183,8 +223,8 @@ class Models:
         of_token = np.repeat(np.arange(len(starts)), np.diff(bounds))
         parts, _ = self.parts(tokens)
         for _ in range(rounds):
-            mixed = sum(l * p for l, p in zip(self.orders, parts))
-            total = np.array([(weight[of_token] * (l * p / mixed)).sum() for l, p in zip(self.orders, parts)])
+            of_word = weight[of_token] / self._mixed(parts)
+            total = np.array([l * np.einsum("ij,ij->", of_word, p) for l, p in zip(self.orders.tolist(), parts)])
             self.orders = np.maximum(total / total.sum(), 1e-3)
             self.orders /= self.orders.sum()
 
@@ -293,7 +333,7 @@ def _numbered(held, id_: str):
         for batch in batches:
             words, starts = [], []
             for text in batch.column("text").to_pylist():
-                w, s = models.numbers(sentences(text))
+                w, s = models.numbered(text)
                 words.append(w)
                 starts.append(s.astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(id_), pa.array(words, pa.list_(pa.int32())), pa.array(starts, pa.list_(pa.int32()))], [id_, "words", "starts"])
