@@ -100,3 +100,10 @@ union all
 select upload_id, role, 'gap', strftime(s, '%Y-%m-%d %H:%M'), strftime(e, '%Y-%m-%d %H:%M') from gaps where s is not null
 """,
 }
+
+_VALUES = "select * from (select *, row_number() over (partition by snap_no, record_id order by delivered_at desc nulls last, specialty desc nulls last, created_at desc nulls last, data desc nulls last) as n from rota_snapshot) where n = 1"
+ORACLE["p2_values"] = f"""
+with f as ({ORACLE["p2_found"]}), t as (select snap_no, lag(snap_no) over (order by snap_no) as prior from (select distinct snap_no from rota_snapshot where snap_no is not null)), v as ({_VALUES})
+select f.snap_no, f.record_id, change, o.specialty as old_specialty, w.specialty as new_specialty, o.created_at as old_created_at, w.created_at as new_created_at, o.data as old_data, w.data as new_data
+from f join t on f.snap_no = t.snap_no left join v o on o.snap_no = t.prior and o.record_id = f.record_id left join v w on w.snap_no = f.snap_no and w.record_id = f.record_id
+"""
