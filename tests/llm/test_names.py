@@ -223,3 +223,21 @@ def test_a_person_of_many_rows_is_paired_in_parts(spark):
         assert {tuple(r) for r in person_pairs(members).collect()} == {(a, b) for a in range(50) for b in range(a + 1, 50)}
     finally:
         V.PEOPLE = keep
+
+
+def test_large_sites_and_plans_that_the_driver_can_hold(spark, small):
+    import watchbill.llm.variants as V
+    from watchbill.llm.queries import p4_found
+
+    def run():
+        df = p4_found(spark, small)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return {tuple(r) for r in df.collect()}, plan
+
+    (one, plan), keep = run(), V.SHARD
+    V.SHARD = 4  # all sites are shared by several tasks, whose trees must be joined
+    try:
+        assert run()[0] == one and one
+    finally:
+        V.SHARD = keep
+    assert plan.count("Exchange ") <= 6, plan.count("Exchange ")  # what is read again is stored, not planned again

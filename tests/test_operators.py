@@ -202,6 +202,32 @@ def test_components_and_groups(spark):
     assert len(sums) == 8 and sum(r["n"] for r in sums) == 1001
 
 
+@pytest.mark.parametrize("most", [2, 1000])
+def test_components_within_groups_of_any_size(spark, most):
+    import random
+
+    from watchbill.operators.components import components_within
+
+    r, rows = random.Random(3), []
+    for group in range(12):
+        nodes = range(100 * group, 100 * group + 30)
+        rows += [(f"g{group}", *r.sample(nodes, 2)) for _ in range(group * 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for _, x, y in rows:
+        low, high = sorted((find(x), find(y)))
+        parent[high] = low
+    edges = spark.createDataFrame([*rows, ("g1", None, 5)], "g string, a bigint, b bigint")
+    got = dict(components_within(edges, "g", most=most).collect())
+    assert {x: got.get(x, x) for x in parent} == {x: find(x) for x in parent}
+    assert components_within(edges.limit(0), "g").count() == 0
+
+
 def test_more_rows(spark):
     t = spark.createDataFrame([("7:30 - 16:30 ER",), ("from 8 to 20",), ("99-100",), ("none",), (None,)], "t string").select(W.time_range(F.col("t"))).collect()
     assert [tuple(r[0]) if r[0] else None for r in t] == [(450, 990), (480, 1200), None, None, None]

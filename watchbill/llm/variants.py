@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchbill.llm.names import assignment, distance, memo, nickname, numbers, tokens
-from watchbill.operators.components import components
+from watchbill.operators.components import components_within, joined
 from watchbill.operators.grouped import stream_groups
 from watchbill.sources.tables import busy_parts, written
 
@@ -313,14 +313,16 @@ def _vocabulary(key, rows):
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates (site, block, a, name_a, kind_a, b, name_b), sorted, to links (strong, a, b, cost).
+    """Candidates (site, blocks, block, a, name_a, kind_a, b, name_b), sorted, to links (strong, a, b, cost, whole).
 
     A weak link leads from a short form to a full name. Strong links are given as the edges of a forest, each node's to
-    the root of its tree, which keeps what is connected; a forest ends with its block or when it has grown large.
+    the root of its tree, its smallest node, which keeps what is connected; a forest ends with its block or when it has
+    grown large. whole: the site is one block, so that the forest's trees are its components.
     """
     read = memo(tokens)
     parent: dict[int, int] = {}
     weak: list[tuple[int, int, float]] = []
+    shared: set[int] = set()  # nodes of sites of several blocks
     at = last = None
 
     def find(x):
@@ -329,19 +331,24 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = parent[x]
         return x
 
-    def flush() -> pa.RecordBatch:
-        strong = [(x, find(x)) for x in list(parent)]
-        parent.clear()
-        edges = [(True, a, b, 0.0) for a, b in strong if a != b] + [(False, *x) for x in weak]
+    def flush(strong: bool) -> pa.RecordBatch:
+        edges = [(False, *x, False) for x in weak]
         weak.clear()
-        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], t) for k, t in enumerate(kinds)], ["strong", "a", "b", "cost"])
+        if strong:
+            edges += [(True, x, find(x), 0.0, x not in shared) for x in list(parent) if find(x) != x]
+            parent.clear()
+            shared.clear()
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], t) for k, t in enumerate(kinds)], ["strong", "a", "b", "cost", "whole"])
 
     for batch in batches:
         for r in batch.to_pylist():
             block = r["site"], r["block"]
-            if block != at and len(parent) + len(weak) > 5_000 or len(parent) > 200_000 or len(weak) > 50_000:
-                yield flush()
+            # the forest of a site of one block, which has at most SHARD names, is never cut
+            if block != at and len(parent) + len(weak) > 5_000 or r["blocks"] > 1 and len(parent) > 200_000:
+                yield flush(True)
+            elif len(weak) > 50_000:
+                yield flush(False)
             at = block
             pair = r["a"], r["b"]
             if pair == last:
@@ -352,17 +359,19 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if (r["a"] not in parent or r["b"] not in parent or find(r["a"]) != find(r["b"])) and (c := same_name(x, y)) is not None and c <= FAR:
                     low, high = sorted((find(r["a"]), find(r["b"])))
                     parent[high] = low
+                    if r["blocks"] > 1:
+                        shared.update((r["a"], r["b"]))
             else:
                 c = short_cost(x, y)
                 if c is None and len(x) == 1:
                     c = same_name(x, y)
                 if c is not None:
                     weak.append((*pair, c))
-    yield flush()
+    yield flush(True)
 
 
 def candidates(named: DataFrame) -> DataFrame:
-    """(site, block, a, name_a, kind_a, b, name_b): every full name or short form a with the full names b it can mean.
+    """(site, blocks, block, a, name_a, kind_a, b, name_b): every full name or short form a with the full names b it can mean.
 
     named has one row per distinct name of a site. All words of the shorter of two names that fit, initials apart, are
     near a word of the longer one, so looking up the rarest word and filtering by the second rarest finds them all; in a
@@ -388,7 +397,7 @@ def candidates(named: DataFrame) -> DataFrame:
     both = longer & ((F.col("initials") > 0) | F.arrays_overlap("words", "second"))
     met = met.where(F.when(F.col("kind") == "full", both).otherwise((F.col("i") == 0) & (F.col("name_id") != F.col("b"))))
     block = F.pmod(F.xxhash64("name_id"), "blocks").alias("block")
-    met = met.select("site", block, F.col("name_id").alias("a"), F.col("name").alias("name_a"), F.col("kind").alias("kind_a"), "b", "name_b")
+    met = met.select("site", "blocks", block, F.col("name_id").alias("a"), F.col("name").alias("name_a"), F.col("kind").alias("kind_a"), "b", "name_b")
     return met.unionByName(_glued_candidates(named))
 
 
@@ -400,15 +409,15 @@ def _glued_candidates(named: DataFrame) -> DataFrame:
     b = keys.where("n >= 2").select("k", F.col("name_id").alias("b"), F.col("n").alias("n_b"))
     met = a.join(b, "k").where("n_a < n_b and (n_a = 1 or n_b <= 3)").select("a", "b").distinct()
     block = F.pmod(F.xxhash64("name_id"), "blocks").alias("block")
-    left = named.select("site", block, F.col("name_id").alias("a"), F.col("name").alias("name_a"), F.col("kind").alias("kind_a"))
+    left = named.select("site", "blocks", block, F.col("name_id").alias("a"), F.col("name").alias("name_a"), F.col("kind").alias("kind_a"))
     right = named.where("kind = 'full'").select(F.col("site").alias("_site"), F.col("name_id").alias("b"), F.col("name").alias("name_b"))
-    return met.join(left, "a").join(right, "b").where("site = _site").drop("_site").select("site", "block", "a", "name_a", "kind_a", "b", "name_b")
+    return met.join(left, "a").join(right, "b").where("site = _site").drop("_site").select("site", "blocks", "block", "a", "name_a", "kind_a", "b", "name_b")
 
 
 def name_links(named: DataFrame) -> DataFrame:
-    """(strong, a, b, cost) of candidates that fit, strong ones as the edges of a forest."""
+    """(strong, a, b, cost, whole) of candidates that fit, strong ones as the edges of a forest."""
     placed = candidates(named).repartition(busy_parts(named.sparkSession), "site", "block").sortWithinPartitions("site", "block", "a", "b")
-    return placed.mapInArrow(_verified, "strong boolean, a bigint, b bigint, cost double")
+    return placed.mapInArrow(_verified, "strong boolean, a bigint, b bigint, cost double, whole boolean")
 
 
 def names_of(names: DataFrame) -> DataFrame:
@@ -467,6 +476,13 @@ def _people(key, rows):
         yield {"form_id": form, "person": low[who]}
 
 
+def _people_forms(key, rows):
+    """_people with the fields of the forms that are asked for afterwards."""
+    of = {r["form_id"]: r for r in rows}
+    for m in _people(key, rows):
+        yield m | {k: of[m["form_id"]][k] for k in ("name_id", "phone", "specialty")}
+
+
 def phone_key(phone: Column) -> Column:
     """A typed phone as ten digits, null if it has fewer than nine."""
     digits = F.regexp_replace(F.translate(phone, "٠١٢٣٤٥٦٧٨٩", "0123456789"), "[^0-9]", "")
@@ -493,8 +509,8 @@ def same_person(df: DataFrame, id: str, site: str, name: str, phone: str, specia
     words = written(names_of(forms.where("rank = 1")))
     forms = forms.drop("rank")
     found = written(name_links(words))
-    joined = components(found.where("strong")).withColumnRenamed("node", "name_id")
-    known = words.select("name_id", "kind", "key").join(joined, "name_id", "left").withColumn("component", F.coalesce("component", F.when(F.col("kind") == "full", F.col("name_id"))))
+    trees = joined(found.where("strong").select("a", "b", "whole")).withColumnRenamed("node", "name_id")
+    known = words.select("name_id", "kind", "key").join(trees, "name_id", "left").withColumn("component", F.coalesce("component", F.when(F.col("kind") == "full", F.col("name_id"))))
     named = written(forms.join(known, "name_id"))
     # a phone of several unlike full names is a desk; of two alike ones, a link the words' distance missed
     full = named.where("kind = 'full'")
@@ -505,15 +521,15 @@ def same_person(df: DataFrame, id: str, site: str, name: str, phone: str, specia
     ).where("people > 1")
     alike = (F.col("people") == 2) & (F.levenshtein("ka", "kb") <= 0.4 * F.greatest(F.length("ka"), F.length("kb")))
     shared = written(shared.withColumn("alike", alike))
-    bridges = components(shared.where("alike")).select(F.col("node").alias("component"), F.col("component").alias("_top"))
+    bridges = components_within(shared.where("alike").select("site", "a", "b"), "site").select(F.col("node").alias("component"), F.col("component").alias("_top"))
     desks = shared.where("not alike").select("site", "phone", F.lit(True).alias("_desk"))
     clean = named.join(desks, ["site", "phone"], "left").withColumn("phone", F.when(F.col("_desk").isNull(), F.col("phone"))).drop("_desk")
     clean = clean.join(bridges, "component", "left").withColumn("component", F.coalesce("_top", "component")).drop("_top")
     clean = written(clean)
-    full = clean.where("kind = 'full'").select("component", "form_id", "name", "phone", "specialty", "n")
-    people = written(stream_groups(full, ["component"], _people, "form_id bigint, person bigint").join(
-        clean.select("form_id", "name_id", "phone", "specialty", "n"), "form_id"))
-    short = _short_forms(clean.where("kind <> 'full'"), found.where("not strong").select("a", "b", "cost"), people)
+    full = clean.where("kind = 'full'").select("component", "form_id", "name_id", "name", "phone", "specialty", "n")
+    people = written(stream_groups(full, ["component"], _people_forms, "form_id bigint, person bigint, name_id bigint, phone string, specialty string"))
+    # plans end where their results are read again: the driver holds each plan with all its stages
+    short = written(_short_forms(clean.where("kind <> 'full'"), found.where("not strong").select("a", "b", "cost"), people))
     member = people.select("form_id", "person").unionByName(short)
     traits = [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("phone", "specialty")]
     out = forms.join(member, "form_id").select("site", "name", *traits, "person")
@@ -547,8 +563,9 @@ def _short_forms(short: DataFrame, weak: DataFrame, people: DataFrame) -> DataFr
 def person_pairs(members: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of rows that mean the same person: every pair is a row of the result asked for.
 
-    A person of more than PEOPLE rows is paired by several tasks.
+    A person of more than PEOPLE rows is paired by several tasks. members are read three times and stored once.
     """
+    members = written(members)
     large = members.groupBy("person").agg(F.ceil(F.count("*") / PEOPLE).cast("int").alias("tasks")).where("tasks > 1")
     shared = members.join(large, "person", "left").withColumn("tasks", F.coalesce("tasks", F.lit(1)))
     a = shared.select(F.col("id").alias("id_a"), "person", F.pmod(F.xxhash64("id"), "tasks").cast("int").alias("task"))
